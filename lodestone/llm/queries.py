@@ -3,9 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import bpe
-from lodestone.llm.common import table
+from lodestone.llm import bpe, html, media, toxicity
+from lodestone.llm.common import arrow_batches, table
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_batches(spark)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", html.extract(F.col("html")).alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *media.COLUMNS)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~toxicity.held_out())
+    model = toxicity.train(docs, labels)
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,7 +31,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op9_bpe": op9_bpe}
+    return {"op5_html": op5_html, "op7_media": op7_media, "op8_toxicity": op8_toxicity, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict:
