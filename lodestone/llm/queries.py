@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, html, media, toxicity
+from lodestone.llm import bpe, decontaminate, html, language, media, toxicity
 from lodestone.llm.common import arrow_batches, table
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_batches(spark)
     pages = table(spark, sf_dir, "pages").select("page_id", "url", html.extract(F.col("html")).alias("text"))
@@ -30,8 +35,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = language.train(docs.where(~language.held_out()))
+    return language.identify(docs.select("doc_id", "text"), net).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict:
-    return {"op5_html": op5_html, "op7_media": op7_media, "op8_toxicity": op8_toxicity, "op9_bpe": op9_bpe}
+    return {"op2_decontaminate": op2_decontaminate, "op5_html": op5_html, "op7_media": op7_media, "op8_toxicity": op8_toxicity, "op9_bpe": op9_bpe, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict:
