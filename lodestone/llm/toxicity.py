@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import arrow_batches, crc_mod, text_or_empty
 
 #: At most so many labelled rows are learned from (those of the smallest hash of their id).
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 6_000
 HASH_BITS, FACTORS = 30, 6
 #: Lengths of the word beginnings that are terms too.
 STEMS = (4, 5)
@@ -85,7 +85,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
     if not 0 < positive < n:
         return Machine(np.empty(0, np.int64), bias, np.empty(0), np.empty((0, FACTORS)))
     at = np.repeat(np.arange(n), [len(r) for r in rows])
-    flat = np.concatenate(rows) if len(at) else np.empty(0, np.int64)
+    flat = np.concatenate(rows) if len(at) else np.empty(0, np.int32)
     found, flat, seen = np.unique(flat, return_inverse=True, return_counts=True)
     hits = np.bincount(flat, weights=labels[at], minlength=len(found))
     z = (hits - seen * rate) / np.sqrt(np.maximum(seen * rate * (1 - rate), 1e-9))
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Machin
 
     # The sample is bounded by `limit`, so it may be broadcast.
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "__y", run(text_or_empty()).alias("x")).toPandas().sort_values("doc_id", kind="stable")
-    return fit([np.asarray(x, dtype=np.int64) for x in found["x"]], found["__y"].to_numpy(dtype=float))
+    return fit([np.asarray(x, dtype=np.int32) for x in found["x"]], found["__y"].to_numpy(dtype=float))
 
 
 def score(docs: DataFrame, model: Machine, text: str = "text") -> DataFrame:
