@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, html, language, media, toxicity
+from lodestone.llm import bpe, decontaminate, html, language, media, pii, toxicity
 from lodestone.llm.common import arrow_batches, table
 
 
@@ -14,6 +14,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(docs, pii.train(docs))
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_batches(spark)
     pages = table(spark, sf_dir, "pages").select("page_id", "url", html.extract(F.col("html")).alias("text"))
@@ -42,7 +47,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_decontaminate": op2_decontaminate, "op5_html": op5_html, "op7_media": op7_media, "op8_toxicity": op8_toxicity, "op9_bpe": op9_bpe, "op10_language": op10_language}
+    return {"op2_decontaminate": op2_decontaminate, "op4_pii": op4_pii, "op5_html": op5_html, "op7_media": op7_media, "op8_toxicity": op8_toxicity, "op9_bpe": op9_bpe, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict:
