@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, html, language, media, pii, toxicity
+from lodestone.llm import bpe, decontaminate, html, language, media, minhash, pii, toxicity
 from lodestone.llm.common import arrow_batches, table
 
 
@@ -25,6 +25,10 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *media.COLUMNS)
 
@@ -47,7 +51,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_decontaminate": op2_decontaminate, "op4_pii": op4_pii, "op5_html": op5_html, "op7_media": op7_media, "op8_toxicity": op8_toxicity, "op9_bpe": op9_bpe, "op10_language": op10_language}
+    return {"op2_decontaminate": op2_decontaminate, "op4_pii": op4_pii, "op5_html": op5_html, "op6_minhash": op6_minhash, "op7_media": op7_media, "op8_toxicity": op8_toxicity, "op9_bpe": op9_bpe, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict:
