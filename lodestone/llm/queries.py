@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, html, language, media, minhash, pii, toxicity
+from lodestone.llm import bpe, decontaminate, html, language, media, minhash, pii, substring, toxicity
 from lodestone.llm.common import arrow_batches, table
 
 
@@ -14,6 +14,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.digest(docs, pii.train(docs))
@@ -51,7 +55,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_decontaminate": op2_decontaminate, "op4_pii": op4_pii, "op5_html": op5_html, "op6_minhash": op6_minhash, "op7_media": op7_media, "op8_toxicity": op8_toxicity, "op9_bpe": op9_bpe, "op10_language": op10_language}
+    return {"op2_decontaminate": op2_decontaminate, "op3_substring": op3_substring, "op4_pii": op4_pii, "op5_html": op5_html, "op6_minhash": op6_minhash, "op7_media": op7_media, "op8_toxicity": op8_toxicity, "op9_bpe": op9_bpe, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict:
