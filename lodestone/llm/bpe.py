@@ -14,6 +14,7 @@ import heapq
 import json
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -208,6 +209,19 @@ def encode(text: Column, path: str | None = None) -> Column:
     return run(text)
 
 
+def encode_checked(text: Column, path: str | None = None) -> Column:
+    """struct<ids array<int>, decoded_sha256>: the ids, and the digest of what they decode to."""
+    where = path or default_path()
+
+    @F.pandas_udf("ids array<int>, decoded_sha256 string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        c = codec(where)
+        ids = [np.array(c.encode(t or ""), dtype=np.int32) for t in texts]
+        return pd.DataFrame({"ids": ids, "decoded_sha256": [hashlib.sha256(c.decode(i.tolist()).encode("utf-8")).hexdigest() for i in ids]})
+
+    return run(text)
+
+
 def decode(ids: Column, path: str | None = None) -> Column:
     """The text of a column of token ids; null gives an empty text."""
     where = path or default_path()

@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import arrow_batches, text_or_empty
+from lodestone.llm.grams import WordHash, grams, hashes, winnow
 
 SPAN, GRAM = 10, 5
 #: Characters of items that one pass holds in a Python worker.
 BLOCK_CHARS = 8 << 20
-CACHE_WORDS = 200_000
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
@@ -39,56 +39,6 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower() if text.isascii() else text.translate(LOWER))
 
 
-class WordHash(dict):
-    """A 64-bit hash of each word, the same in every process."""
-
-    def __missing__(self, word: str) -> int:
-        found = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-        if len(word) <= 64:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = found
-        return found
-
-
-def hashes(known: WordHash, found: list[str]) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, found), np.int64, len(found)).view(np.uint64)
-
-
-ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Spreads the bits of a polynomial hash, so that its order is as good as random."""
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
-def grams(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of n words."""
-    if len(h) < n:
-        return np.empty(0, np.uint64)
-    out = np.zeros(len(h) - n + 1, np.uint64)
-    for k in range(n):
-        out = out * ODD + h[k : k + len(out)]
-    return mixed(out)
-
-
-def winnow(g: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the smallest hash of each window of neighbouring hashes; the last among equals."""
-    if not len(g):
-        return np.empty(0, np.int64)
-    if len(g) <= window:
-        return np.array([len(g) - 1 - int(np.argmin(g[::-1]))])
-    low, at = g[: len(g) - window + 1].copy(), np.arange(len(g) - window + 1)
-    for k in range(1, window):
-        other = g[k : k + len(low)]
-        less = other <= low
-        low = np.where(less, other, low)
-        at = np.where(less, np.arange(k, k + len(low)), at)
-    return np.unique(at)
-
-
 class Index:
     """The windows of a block of items, and their fingerprints."""
 

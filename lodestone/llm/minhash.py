@@ -212,4 +212,4 @@ def _unsettled(held: DataFrame, stars: DataFrame) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
-    return classes(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return classes(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lodestone.llm import bpe, decontaminate, html, language, media, minhash, pii, substring, suffix_dedup, toxicity
 from lodestone.llm.common import arrow_batches, table
 
@@ -58,8 +59,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), net).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_decontaminate": op2_decontaminate, "op3_substring": op3_substring, "op4_pii": op4_pii, "op5_html": op5_html, "op6_minhash": op6_minhash, "op7_media": op7_media, "op8_toxicity": op8_toxicity, "op9_bpe": op9_bpe, "op10_language": op10_language}
+    return {"pipeline": pipeline, "op1_suffix_dedup": op1_suffix_dedup, "op2_decontaminate": op2_decontaminate, "op3_substring": op3_substring, "op4_pii": op4_pii, "op5_html": op5_html, "op6_minhash": op6_minhash, "op7_media": op7_media, "op8_toxicity": op8_toxicity, "op9_bpe": op9_bpe, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict:
