@@ -30,13 +30,12 @@ SPAN, GRAM = 10, 5
 BLOCK_CHARS = 8 << 20
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
 
 
 def words(text: str | None) -> list[str]:
     """Lower-cases A-Z only; other letters stay as they are."""
     text = text or ""
-    return WORD.findall(text.lower() if text.isascii() else text.translate(LOWER))
+    return WORD.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))  # bytes know no other case
 
 
 class Index:

@@ -35,7 +35,6 @@ MISS = 1e-7
 SEED = 5
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
 
 _RNG = np.random.default_rng(SEED)
 FACTOR = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -43,8 +42,8 @@ SHIFT = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 
 
 def words(text: str | None) -> list[str]:
-    text = text or ""
-    return WORD.findall(text.lower() if text.isascii() else text.translate(LOWER))
+    """Lower-cases A-Z only: bytes know no other case."""
+    return WORD.findall((text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
 
 
 def shingles(known: WordHash, text: str | None) -> np.ndarray:
