@@ -116,12 +116,14 @@ def split(text: Column, limit: int, overlap: int) -> Column:
     found, stride = X.pieces(text), limit - overlap
     n = F.size(found)
     parts = F.when(n <= limit, 1).otherwise(F.ceil((n - limit) / F.lit(stride)).cast("int") + 1)
-    return F.when(n <= limit, F.array(text)).otherwise(F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.array_join(F.slice(found, i * stride + 1, limit), "")))
+    # One element, so that the pieces are found once and not once for each part.
+    cut = F.transform(F.array(F.struct(found.alias("p"), parts.alias("n"))), lambda x: F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda i: F.array_join(F.slice(x["p"], i * stride + 1, limit), "")))
+    return F.when(F.length(text) <= limit, F.array(text)).otherwise(F.element_at(cut, 1))
 
 
 def row_chunks(rows: DataFrame, table: str, source_id: str, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Verbalised rows as chunks; all parts of a row refer to it."""
-    parts = rows.select("*", F.posexplode(split(F.col("text"), config.max_chunk_tokens, config.overlap_tokens)).alias("part_index", "part"), F.size(split(F.col("text"), config.max_chunk_tokens, config.overlap_tokens)).alias("n_parts"))
+    parts = rows.select("*", split(F.col("text"), config.max_chunk_tokens, config.overlap_tokens).alias("__p")).select("*", F.size("__p").alias("n_parts"), F.posexplode("__p").alias("part_index", "part"))
     return parts.select(
         chunk_id(F.lit(source_id), "row", table, F.col("pk"), F.col("part_index")).alias("chunk_id"),
         F.lit(source_id).alias("source_id"),
