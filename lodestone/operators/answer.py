@@ -171,10 +171,11 @@ def finalize(questions: DataFrame, answers: DataFrame, packed: DataFrame) -> Dat
 
 def answer(questions: DataFrame, hits: DataFrame, config: GenerationConfig = GenerationConfig()) -> DataFrame:
     """Extractive answers: (qid, text, refused, reason, citations) for every question."""
-    gate = assess(questions, hits, config).select("qid", "code")
+    hits = hits.persist()  # as many rows for each question as retrieval gave, read several times
+    gate = assess(questions, hits, config).select("qid", "code").persist()
     supported = hits.join(gate.where("code = 'supported'"), "qid", "left_semi")
-    packed = pack(supported, config)
-    done = finalize(questions, compose(questions, packed, config), packed)
+    packed = pack(supported, config).persist()
+    done = finalize(questions, compose(questions, packed, config).persist(), packed)
     none = F.array().cast(done.schema["citations"].dataType)
     all_ = gate.join(done, "qid", "left")
     reason = F.when(F.col("code") != "supported", F.col("code")).when(F.col("refused").isNull(), "no_extractable_answer").otherwise(F.col("reason"))
