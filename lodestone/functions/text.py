@@ -50,16 +50,24 @@ def words(text: Column) -> Column:
     return _all(F.regexp_replace(F.lower(text), ARABIC_MARKS, ""), WORD)
 
 
-@F.pandas_udf("string")
-def nfkc(texts: pd.Series) -> pd.Series:
+def nfkc(text: Column) -> Column:
     """Compatibility form; Spark has no builtin for it."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
-@F.pandas_udf("string")
-def shortest(values: pd.Series) -> pd.Series:
+    return run(text)
+
+
+def shortest(value: Column) -> Column:
     """A double as the shortest text that reads back as the same number; whole numbers without a point."""
-    return values.map(lambda v: None if pd.isna(v) else str(int(v)) if float(v).is_integer() else repr(float(v)))
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if pd.isna(v) else str(int(v)) if float(v).is_integer() else repr(float(v)))
+
+    return run(value)
 
 
 def folded(term: Column) -> Column:
