@@ -2,9 +2,13 @@
 
 A text is the set of its distinct SHINGLE-word runs (A-Z lowered). Texts of equal sets are one class, found
 by a digest of the set, so copies cost nothing more. Classes whose signatures agree on a whole band are
-candidates. Within a band bucket nobody is paired with everybody: each member meets the bucket's leader, in
-a second round another leader, and at last only members that are still in different components meet, less
-the pairs already looked at. Pairs inside one component needn't be compared, so components stay exact.
+candidates. Within a band bucket nobody is paired with everybody: each member meets the bucket's leader L.
+Pairs inside one component needn't be compared. Two members x, y of a bucket that are still apart can only be
+similar if they differ from L in the same way: one of them, x, isn't similar to L, so with A = own shingles
+that L lacks and B = those of L that it lacks, at least (t |A_y| + |B_y|) / (1 + t) elements of A and B are
+common to both (t is the threshold; put the sizes into the Jaccard quotient). So members meet on the rarest of
+their differences from L, as many as this bound leaves (a prefix filter), and components stay exact, while
+copies that each differ in their own way hardly meet.
 
 A candidate's signatures are compared batch by batch; after each batch the pair is given up if the posterior
 probability of a similarity of NUM/DEN or more has fallen below MISS (uniform prior). What survives is verified
@@ -175,38 +179,74 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     arrow_batches(spark)
     sketched = Staged(sketch(docs, key, text), "sketch")
     firsts = sketched.df.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep"))
-    reps = Staged(firsts.join(sketched.df.select(F.col("id").alias("rep"), F.col("set_key").alias("__k"), "sig"), "rep").where("set_key = __k").select("rep", "set_key", "sig"), "classes")
+    reps = Staged(firsts.join(sketched.df.select(F.col("id").alias("rep"), F.col("set_key").alias("__k"), "sig"), "rep").where("set_key = __k").select("rep", "set_key", "sig").dropDuplicates(["rep", "set_key"]), "classes")
     free_shuffles(spark)
 
-    # Buckets of one member lead nowhere.
-    kept = bands(reps.df).groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.min_by("rep", F.xxhash64("rep", F.lit(SEED))).alias("other")).where("n > 1")
-    held = Staged(bands(reps.df).join(kept.select("band", "low", "other"), "band"), "bands")
+    # Buckets of one member lead nowhere; of two, only to the leader.
+    kept = bands(reps.df).groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1")
+    held = Staged(bands(reps.df).join(kept, "band"), "bands")
     free_shuffles(spark)
 
     looked, found = links(docs, key, text, reps.df, _ordered(held.df.select(F.col("low").alias("a"), F.col("rep").alias("b"))))
-    edges = found.df.select(F.col("b").alias("u"), F.col("a").alias("v"))
-    seen = looked.df
-    stars = components(edges)
-    for last in (False, True):
-        open_ = _unsettled(held.df, stars.df)
-        if last:
-            x, y = (open_.select("band", F.col("rep").alias(r), F.col("c").alias(c)) for r, c in (("a", "ca"), ("b", "cb")))
-            pairs = x.join(y, "band").where("ca < cb").select("a", "b")
-        else:
-            pairs = open_.where("other <> rep").select(F.col("other").alias("a"), F.col("rep").alias("b"))
-        looked, found = links(docs, key, text, reps.df, _ordered(pairs).join(seen, ["a", "b"], "left_anti"))
-        seen = seen.unionByName(looked.df)
-        edges = stars.df.unionByName(found.df.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        stars = components(edges)
+    stars = components(found.df.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    free_shuffles(spark)
+    members = Staged(_unsettled(held.df.where("n > 2"), stars.df), "unsettled")
+    held.drop()
+    pairs = Staged(_same_differences(docs, key, text, members.df), "pairs")
+    free_shuffles(spark)
+    _, more = links(docs, key, text, reps.df, pairs.df.join(looked.df, ["a", "b"], "left_anti"))
+    stars = components(stars.df.unionByName(more.df.select(F.col("b").alias("u"), F.col("a").alias("v"))))
     by_class = reps.df.select("set_key", "rep").join(stars.df.select(F.col("u").alias("rep"), F.col("v").alias("top")), "rep", "left").select("set_key", F.coalesce("top", "rep").alias("component"))
     return sketched.df.select("id", "n_shingles", "set_key").join(by_class, "set_key", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
 def _unsettled(held: DataFrame, stars: DataFrame) -> DataFrame:
-    """Members of buckets that still hold several components."""
-    named = held.join(stars.select(F.col("u").alias("rep"), F.col("v").alias("top")), "rep", "left").select("band", "rep", "other", F.coalesce("top", "rep").alias("c"))
+    """(leader, rep, c): members, with their components, of buckets that still hold several."""
+    named = held.join(stars.select(F.col("u").alias("rep"), F.col("v").alias("top")), "rep", "left").select("band", "rep", F.col("low").alias("leader"), F.coalesce("top", "rep").alias("c"))
     mixed = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
-    return named.join(mixed, "band", "left_semi")
+    return named.join(mixed, "band", "left_semi").where("rep <> leader").select("leader", "rep", "c").distinct()
+
+
+def _differences(own: pd.Series, led: pd.Series) -> pd.DataFrame:
+    """Of sets and their leaders': whether they're not similar; the differences; how many of the rarest of them meet.
+
+    `few` is for partners of a set that is apart: those share more than bound / (NUM + DEN) differences. `many` is for
+    a set that is apart, towards partners that are similar to the leader: they share spare / (NUM + DEN) at least.
+    """
+    rows = []
+    for x, y in zip(own, led):
+        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        more, less = np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)
+        spare = NUM * (len(b) + len(more)) - DEN * (len(b) - len(less))  # positive: not similar
+        bound = NUM * len(more) + DEN * len(less)
+        n = len(more) + len(less)
+        rows.append((spare > 0, n - bound // (NUM + DEN), n - max(1, -(-spare // (NUM + DEN))) + 1, bound, (DEN - NUM) * len(b), np.concatenate([more, ~less]).view(np.int64)))
+    return pd.DataFrame(rows, columns=["apart", "few", "many", "bound", "slack", "items"])
+
+
+def _same_differences(docs: DataFrame, key: str, text: str, members: DataFrame) -> DataFrame:
+    """(a, b): members of one leader, in different components and at least one apart from it, whose rarest differences meet."""
+    wanted = members.select(F.explode(F.array("leader", "rep")).alias("id")).distinct()
+    sets = Staged(sets_of(docs, key, text, wanted), "sets")
+    free_shuffles(docs.sparkSession)
+    own, led = sets.df.select(F.col("id").alias("rep"), F.col("items").alias("own")), sets.df.select(F.col("id").alias("leader"), F.col("items").alias("led"))
+    split = Staged(members.join(own, "rep").join(led, "leader").select("leader", "rep", "c", F.pandas_udf(_differences, "apart boolean, few int, many int, bound long, slack long, items array<long>")("own", "led").alias("d")).select("leader", "rep", "c", "d.*"), "differences")
+    sets.drop()
+    free_shuffles(docs.sparkSession)
+    each = split.df.select("leader", "rep", F.explode("items").alias("e"))
+    common = each.groupBy("leader", "e").agg(F.count("*").alias("f")).where("f > 1")
+    shared = each.join(common, ["leader", "e"]).groupBy("leader", "rep").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("s"))  # at most a set
+    alone = F.size("items") - F.size("s")  # differences that nobody else has come first and meet nothing
+    rare = lambda n: F.transform(F.slice("s", 1, F.greatest(F.lit(0), F.col(n) - alone)), lambda x: x["e"])
+    met = split.df.join(shared, ["leader", "rep"]).withColumn("k", F.size("s")).withColumn("own", F.struct("rep", "c", "apart", "bound", "slack", "k"))
+    few = met.select("leader", "own", F.explode(rare("few")).alias("e"))
+    many = met.where("apart").select("leader", F.col("own").alias("x"), F.explode(rare("many")).alias("e"))
+    x, y = few.select("leader", "e", F.col("own").alias("x")).where("x.apart"), few.select("leader", "e", F.col("own").alias("y"))
+    # What both differ in alike is at most what either shares with anybody, and has to make up for all differences.
+    enough = f"x.c <> y.c and least(x.k, y.k) * {NUM + DEN} >= x.bound + y.bound - x.slack"
+    both = x.join(y.where("y.apart"), ["leader", "e"]).where(f"x.rep < y.rep and {enough}")
+    mixed = many.join(y.where("not y.apart"), ["leader", "e"]).where(enough)
+    return _ordered(both.unionByName(mixed).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
 
 
 def digest(docs: DataFrame) -> DataFrame:
