@@ -36,7 +36,7 @@ CHUNK_BYTES = 4_000_000
 #: Distinct segments of one anchor that are concatenated at most.
 SEGMENTS = 12
 #: Symbols of one batch of suffix arrays.
-BATCH = 4_000_000
+BATCH = 500_000
 
 _RNG = np.random.default_rng(17)
 BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -220,6 +220,23 @@ def repeats(groups: list[list[bytes]]) -> list[list[tuple[int, int, int]]]:
     return out
 
 
+def string_digests(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(segment, start, two 64-bit hashes) of every SPAN-byte string of segments."""
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    counts = sizes - SPAN + 1
+    owner = np.repeat(np.arange(len(pieces)), counts)
+    start = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = (np.cumsum(sizes) - sizes)[owner] + start
+    found = []
+    for step in (np.uint64(STEP), np.uint64(STEP ^ 0x5851F42D4C957F2C)):
+        h = np.zeros(len(data) - SPAN + 1, np.uint64)
+        for k in range(SPAN):
+            h = h * step + BYTE[data[k : k + len(h)]]
+        found.append(mixed(h)[at])
+    return owner, start, found
+
+
 def _later(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Bucket -> chunks: the SPAN-byte strings that also start earlier, as runs."""
     first: dict[bytes, tuple[int, int, int, int]] = {}  # segment -> its first (id, start, chunk, anchor)
@@ -246,6 +263,20 @@ def _later(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
                 for doc, pos, chunk in sorted(members)[1:]:
                     gone.setdefault(chunk, []).append((doc, pos, pos + SPAN))
 
+    def take_apart(pieces: list[bytes]) -> None:
+        """All strings of many segments by 128-bit digest, in arrays; runs of removed strings join."""
+        owner, start, digests = string_digests(pieces)
+        doc, pos, chunk = (np.array([first[p][k] for p in pieces], np.int64)[owner] for k in (0, 1, 2))
+        pos = pos + start
+        order = np.lexsort((pos, doc, digests[1], digests[0]))
+        again = np.append(False, (digests[0][order][1:] == digests[0][order][:-1]) & (digests[1][order][1:] == digests[1][order][:-1]))
+        at = order[again]
+        at = at[np.lexsort((pos[at], doc[at], chunk[at]))]
+        if len(at):
+            cut = np.flatnonzero((doc[at][1:] != doc[at][:-1]) | (pos[at][1:] > pos[at][:-1] + SPAN)) + 1
+            for a, b in zip(np.append(0, cut).tolist(), np.append(cut, len(at)).tolist()):
+                gone.setdefault(int(chunk[at[a]]), []).append((int(doc[at[a]]), int(pos[at[a]]), int(pos[at[b - 1]]) + SPAN))
+
     batch: list[list[bytes]] = []
     size = 0
 
@@ -257,17 +288,15 @@ def _later(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
                 doc, pos, chunk, _ = first[pieces[p]]
                 classes.setdefault(c, []).append((doc, pos + start, chunk))
             settle(classes)
+            for own in gone.values():  # so that runs, not strings, pile up
+                if len(own) > 50_000:
+                    own[:] = joined(own)
 
     for pieces in by_anchor.values():
         if len(pieces) == 1:  # strings of one anchor differ within a segment: nothing more can repeat
             continue
         if len(pieces) > SEGMENTS:
-            alone: dict[bytes, list] = {}
-            for p in pieces:
-                doc, pos, chunk, _ = first[p]
-                for s in range(len(p) - SPAN + 1):
-                    alone.setdefault(p[s : s + SPAN], []).append((doc, pos + s, chunk))
-            settle(alone)
+            take_apart(pieces)
             continue
         batch.append(pieces)
         size += sum(map(len, pieces))
@@ -276,7 +305,18 @@ def _later(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             batch, size = [], 0
     if batch:
         work()
-    return pd.DataFrame([(c, packed_runs(sorted(set(r)))) for c, r in gone.items()], columns=["chunk", "data"])
+    return pd.DataFrame([(c, packed_runs(joined(r))) for c, r in gone.items()], columns=["chunk", "data"])
+
+
+def joined(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Overlapping runs of one text as one."""
+    out: list[tuple[int, int, int]] = []
+    for doc, s, e in sorted(set(runs)):
+        if out and out[-1][0] == doc and s <= out[-1][2]:
+            out[-1] = (doc, out[-1][1], max(e, out[-1][2]))
+        else:
+            out.append((doc, s, e))
+    return out
 
 
 def _cut(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
