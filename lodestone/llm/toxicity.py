@@ -73,11 +73,11 @@ class Machine:
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
     """Adaptive gradient descent on the log loss. rows: the buckets of each text; labels: 0 or 1.
 
-    Texts with the same four smallest buckets are copies of each other and count once, else the chance words
+    Texts with the same sixteen smallest buckets are copies of each other and count once, else the chance words
     of a much copied text would look like signals. The bias stays at the base rate, so a text without any
     known term scores as the base rate and one strong term alone can pass the threshold.
     """
-    once = {(tuple(r[:4]), y): k for k, (r, y) in reversed(list(enumerate(zip(rows, labels))))}
+    once = {(tuple(r[:16]), y): k for k, (r, y) in reversed(list(enumerate(zip(rows, labels))))}
     rows, labels = [rows[k] for k in sorted(once.values())], labels[sorted(once.values())]
     n, positive = len(labels), float(labels.sum())
     rate = min(max(positive / n if n else 0.0, 1e-3), 1 - 1e-3)
