@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,10 +50,10 @@ class Staged:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner remove shuffle files of finished jobs now instead of at some later collection."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)  # the cleaner and the executors work on their own
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -50,11 +50,29 @@ def hash_bytes(total: int) -> int:
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
+    """Ascending numbers of at most `width` bytes as gaps of few bytes; wider gaps follow in full."""
+    values = values.astype(np.uint64)
+    gaps = np.diff(values, prepend=np.uint64(0))
+    small = min(range(2, width + 1), key=lambda w: w * len(gaps) + (width * int((gaps >= (1 << (8 * w)) - 1).sum()) if w < width else 0))
+    full = np.uint64((1 << (8 * small)) - 1)
+    wide = gaps >= full if small < width else np.zeros(len(gaps), bool)
+    return bytes([small]) + len(gaps).to_bytes(8, "little") + _narrow(np.where(wide, full, gaps), small) + _narrow(gaps[wide], width)
+
+
+def unpack(data: bytes, width: int) -> np.ndarray:
+    small, n = data[0], int.from_bytes(data[1:9], "little")
+    gaps = _widen(data[9 : 9 + small * n], small)
+    if small < width:
+        gaps[gaps == np.uint64((1 << (8 * small)) - 1)] = _widen(data[9 + small * n :], width)
+    return np.cumsum(gaps, dtype=np.uint64)
+
+
+def _narrow(values: np.ndarray, width: int) -> bytes:
     """The lowest `width` bytes of each number."""
     return np.ascontiguousarray(values.astype("<u8")[:, None].view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def unpack(data: bytes, width: int) -> np.ndarray:
+def _widen(data: bytes, width: int) -> np.ndarray:
     out = np.zeros((len(data) // width, 8), np.uint8)
     out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
     return out.view("<u8").reshape(-1)
