@@ -128,7 +128,7 @@ class FilesSource:
         suffix = os.path.splitext(path)[1].lower()
         if SUFFIXES[suffix] is None:
             return self.spark.read.parquet(path)
-        reader = self.spark.read.option("sep", SUFFIXES[suffix]).option("nullValue", "").option("emptyValue", "").option("mode", "FAILFAST").option("enforceSchema", "false")
+        reader = self.spark.read.option("sep", SUFFIXES[suffix]).option("nullValue", "").option("emptyValue", "").option("mode", "FAILFAST")
         head = reader.option("header", False).csv(path).limit(1).first()
         if head is None:
             raise SourceError(f"empty file: {path}")
