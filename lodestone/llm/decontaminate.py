@@ -149,10 +149,11 @@ def _runs_length(starts, ends):
     return F.aggregate(pairs, none, lambda a, p: F.struct(F.greatest(a["upto"], p["e"]).alias("upto"), (a["n"] + F.greatest(p["e"] - F.greatest(a["upto"], p["s"]), F.lit(0).cast("long"))).alias("n")), lambda a: a["n"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The columns of docs with n_words, n_hit, n_items, items_sha256 and contaminated.
 
-    One narrow pass for each block of items; with several blocks the hits of a text meet in one group by its key.
+    One narrow pass for each block of items; with several blocks the hits of a text meet in one group by its digest:
+    equal texts have equal hits, whatever their ids.
     """
     arrow_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "__hit")]
@@ -160,11 +161,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") ->
     parts = [_pass(docs, b) for b in blocks(benchmark)] or [_pass(docs, [])]
     found = parts[0]
     if len(parts) > 1:
-        rest = parts[1].select(key, "__hit")
+        same = F.unhex(F.sha2(text_or_empty(), 256))
+        rest = parts[1].select(same.alias("__key"), "__hit")
         for p in parts[2:]:
-            rest = rest.unionByName(p.select(key, "__hit"))
-        rest = rest.where(F.size("__hit.starts") > 0).groupBy(F.col(key).alias("__key")).agg(*(F.flatten(F.collect_list(f"__hit.{c}")).alias(f"__{c}") for c in ("starts", "ends", "items")))
-        found = found.join(rest, F.col(key) == F.col("__key"), "left").select(*own, F.struct("__hit.n_words", *(F.concat(f"__hit.{c}", F.coalesce(f"__{c}", F.expr("array()"))).alias(c) for c in ("starts", "ends", "items"))).alias("__hit"))
+            rest = rest.unionByName(p.select(same.alias("__key"), "__hit"))
+        rest = rest.where(F.size("__hit.starts") > 0).groupBy("__key").agg(F.collect_set("__hit").alias("__all"))  # copies of a text count once
+        rest = rest.select("__key", *(F.flatten(F.col(f"__all.{c}")).alias(f"__{c}") for c in ("starts", "ends", "items")))
+        found = found.join(rest, same == F.col("__key"), "left").select(*own, F.struct("__hit.n_words", *(F.concat(f"__hit.{c}", F.coalesce(f"__{c}", F.expr("array()"))).alias(c) for c in ("starts", "ends", "items"))).alias("__hit"))
     items = F.array_sort(F.array_distinct("__hit.items"))
     return found.select(
         *own,

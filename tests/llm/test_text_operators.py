@@ -147,6 +147,19 @@ def test_op2(spark, docs, rows, empty):
     assert decontaminate.contamination(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_op2_blocks_tell_rows_apart(spark, monkeypatch):
+    """Hits of later blocks reach rows without an id, and no other text of the same id."""
+    a, b, clean = prose(30), prose(30), prose(30)
+    rows = [(None, a), (None, b), (None, b), (7, b), (7, clean), (7, a + " " + b), (None, None), (8, clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, a), (2, b), (3, b)], "item_id int, text string").coalesce(1)
+    counts = {a: (30, 1), b: (30, 2), a + " " + b: (60, 3), clean: (0, 0), None: (0, 0)}
+    for blocks in (8 << 20, 1):
+        monkeypatch.setattr(decontaminate, "BLOCK_CHARS", blocks)
+        got = [((r["doc_id"], r["text"]), r["n_hit"], r["n_items"], r["contaminated"]) for r in decontaminate.contamination(docs, bench).collect()]
+        assert sorted(got, key=str) == sorted((((i, t), *counts[t], counts[t][0] > 0) for i, t in rows), key=str)
+
+
 def test_op4(spark, empty):
     texts = [
         "mail a.b@c.example.com_x@d.ef or a@b.c..d@e.f", "ip 1.2.3.4 and 300.1.1.1 and 1.2.3.4.5.6.7.8 and 0255.01.002.3", "card 4111 1111 1111 1111, 4111-1111-1111-1112 and 378282246310005", "call +1 (583) 555-6359 or +12 or +1 2 3 4 5 6 7 8 9",
