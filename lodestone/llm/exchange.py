@@ -28,7 +28,7 @@ def chunked(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
 
 
 def keyed_by_chunk(ids: DataFrame, n: int) -> DataFrame:
-    return ids.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("chunk"), "id")
+    return ids.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("chunk"), "id", "digest")
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:

@@ -8,7 +8,8 @@ smallest (id, position) stays; words covered by a window that also starts earlie
 
 Texts equal to an earlier one are settled by a digest of the whole text and don't take part. Exchanges are
 those of `exchange`: each chunk sends a distinct hash once. Null, empty and short texts keep all their words;
-rows that repeat an id and text get the same result; null ids count as one id after all others.
+rows that repeat an id and text get the same result; null ids count as one id after all others. Different
+texts of one id are rows of their own, in the order of their texts.
 """
 
 import hashlib
@@ -28,8 +29,9 @@ WINDOW, BLOCK = 20, 10
 #: Words of a chunk.
 CHUNK_WORDS = 500_000
 SECOND = np.uint64(0xD6E8FEB86659FD93)
-FOUND = np.dtype([("h", "<u8"), ("g", "<u4"), ("id", "<i8"), ("pos", "<u4")])
-RUN = np.dtype([("id", "<i8"), ("start", "<u4"), ("end", "<u4")])
+#: `nth` tells the texts of one id apart: see _rows.
+FOUND = np.dtype([("h", "<u8"), ("g", "<u4"), ("id", "<i8"), ("nth", "<u4"), ("pos", "<u4")])
+RUN = np.dtype([("id", "<i8"), ("nth", "<u4"), ("start", "<u4"), ("end", "<u4")])
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -57,16 +59,24 @@ def _basics(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(X.known_id(key).alias("id"), run(text_or_empty(text)).alias("b")).select("id", "b.*")
 
 
-def _rows(left: pd.DataFrame, skip: set[int]):
-    """The texts of a chunk by id, each row once."""
-    pairs = {(int(i), t) for i, t in zip(left["id"], left["text"]) if t is not None and int(i) not in skip}
-    return sorted(pairs)
+def _rows(left: pd.DataFrame, skip: dict[int, set[bytes]], digest=digest_of):
+    """(id, nth, text) of the texts of a chunk, each row once; nth counts the texts of an id in their order."""
+    pairs = {(int(i), t) for i, t in zip(left["id"], left["text"]) if t is not None and (int(i) not in skip or digest(t) not in skip[int(i)])}
+    last, nth = None, 0
+    for doc, text in sorted(pairs):
+        last, nth = doc, nth + 1 if doc == last else 0
+        yield doc, nth, text
 
 
-def _split(right: pd.DataFrame) -> tuple[set[int], list[bytes]]:
-    """The ids of copies, and the packed answers for this chunk."""
-    copies = right["data"].isna() if len(right) else pd.Series([], dtype=bool)
-    return set(right.loc[copies, "id"].astype("int64")), list(right.loc[~copies, "data"]) if len(right) else []
+def _split(right: pd.DataFrame) -> tuple[dict[int, set[bytes]], list[bytes]]:
+    """The digests of copies by id, and the packed answers for this chunk."""
+    skip: dict[int, set[bytes]] = {}
+    if not len(right):
+        return skip, []
+    copies = right["data"].isna()
+    for doc, digest in zip(right.loc[copies, "id"].tolist(), right.loc[copies, "digest"]):
+        skip.setdefault(int(doc), set()).add(bytes(digest))
+    return skip, list(right.loc[~copies, "data"])
 
 
 def _probe(width: int, n: int):
@@ -76,7 +86,7 @@ def _probe(width: int, n: int):
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         skip, _ = _split(right)
         known, parts, flags = WordHash(), [], []
-        for _, text in _rows(left, skip):
+        for _, _, text in _rows(left, skip):
             found = words(text)
             if len(found) >= WINDOW:
                 g = grams(hashes(known, found), BLOCK)
@@ -108,7 +118,7 @@ def _windows(width: int, n: int):
             return empty
         live = np.sort(np.concatenate([X.unpack(a, width) for a in answers]) >> np.uint64(2))
         known, parts = WordHash(), []
-        for doc, text in _rows(left, skip):
+        for doc, nth, text in _rows(left, skip):
             found = words(text)
             if len(found) < WINDOW:
                 continue
@@ -121,12 +131,12 @@ def _windows(width: int, n: int):
             if len(at):
                 out = np.empty(len(at), FOUND)
                 out["h"], out["g"] = grams(h, WINDOW)[at], (grams(h, WINDOW, SECOND)[at] >> np.uint64(32)).astype(np.uint32)
-                out["id"], out["pos"] = doc, at
+                out["id"], out["nth"], out["pos"] = doc, nth, at
                 parts.append(out)
         if not parts:
             return empty
         found = np.concatenate(parts)
-        found = found[np.lexsort((found["pos"], found["id"], found["g"], found["h"]))]
+        found = found[np.lexsort((found["pos"], found["nth"], found["id"], found["g"], found["h"]))]
         first = _firsts(found)
         again = found[~first]
         rows = [(-1, key[0], _packed_runs(again, WINDOW))] if len(again) else []
@@ -144,13 +154,13 @@ def _firsts(found: np.ndarray) -> np.ndarray:
 
 
 def _packed_runs(found: np.ndarray, span: int) -> bytes:
-    """(id, start, end) of the maximal runs of windows, by id."""
-    found = found[np.lexsort((found["pos"], found["id"]))]
-    pos, doc = found["pos"].astype(np.int64), found["id"]
-    cut = np.flatnonzero((doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1] + span)) + 1
+    """(id, nth, start, end) of the maximal runs of windows, by id and nth."""
+    found = found[np.lexsort((found["pos"], found["nth"], found["id"]))]
+    pos, doc, nth = found["pos"].astype(np.int64), found["id"], found["nth"]
+    cut = np.flatnonzero((doc[1:] != doc[:-1]) | (nth[1:] != nth[:-1]) | (pos[1:] > pos[:-1] + span)) + 1
     first, last = np.append(0, cut), np.append(cut, len(found)) - 1
     out = np.empty(len(first), RUN)
-    out["id"], out["start"], out["end"] = doc[first], pos[first], pos[last] + span
+    out["id"], out["nth"], out["start"], out["end"] = doc[first], nth[first], pos[first], pos[last] + span
     return out.tobytes()
 
 
@@ -159,20 +169,20 @@ def _later(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     parts = [np.frombuffer(d, FOUND) for d in pdf["data"]]
     found = np.concatenate(parts)
     source = np.repeat(np.asarray(pdf["chunk"]), [len(p) for p in parts])
-    order = np.lexsort((found["pos"], found["id"], found["g"], found["h"]))
+    order = np.lexsort((found["pos"], found["nth"], found["id"], found["g"], found["h"]))
     again = order[~_firsts(found[order])]
     rows = [(int(c), _packed_runs(found[again[source[again] == c]], WINDOW)) for c in np.unique(source[again])]
     return pd.DataFrame(rows, columns=["chunk", "data"])
 
 
-def covered(parts: list[bytes]) -> dict[int, list[tuple[int, int]]]:
-    """The union of packed runs by id."""
-    out: dict[int, list[tuple[int, int]]] = {}
+def covered(parts: list[bytes]) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """The union of packed runs by id and nth."""
+    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
     if parts:
         r = np.frombuffer(b"".join(parts), RUN)
-        r = r[np.lexsort((r["start"], r["id"]))]
-        for doc, s, e in zip(r["id"].tolist(), r["start"].tolist(), r["end"].tolist()):
-            own = out.setdefault(doc, [])
+        r = r[np.lexsort((r["start"], r["nth"], r["id"]))]
+        for doc, nth, s, e in zip(r["id"].tolist(), r["nth"].tolist(), r["start"].tolist(), r["end"].tolist()):
+            own = out.setdefault((doc, nth), [])
             if own and s <= own[-1][1]:
                 own[-1] = (own[-1][0], max(own[-1][1], e))
             else:
@@ -184,15 +194,15 @@ def _cut(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """The texts of a chunk without their repeated runs."""
     skip, answers = _split(right)
     spans, rows = covered(answers), []
-    for doc, text in _rows(left, skip) if spans else []:
-        if doc in spans:
+    for doc, nth, text in _rows(left, skip) if spans else []:
+        if (doc, nth) in spans:
             found = words(text)
             kept, at = [], 0
-            for s, e in spans[doc]:
+            for s, e in spans[doc, nth]:
                 kept += found[at:s]
                 at = e
             kept += found[at:]
-            rows.append((doc, digest_of(text), len(found) - len(kept), " ".join(kept), [{"start": s, "end": e} for s, e in spans[doc]]))
+            rows.append((doc, digest_of(text), len(found) - len(kept), " ".join(kept), [{"start": s, "end": e} for s, e in spans[doc, nth]]))
     return pd.DataFrame(rows, columns=["id", "digest", "n_removed", "kept", "runs"])
 
 
@@ -212,8 +222,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tu
     first = basics.where(F.col("n_words") >= WINDOW).groupBy("digest").agg(F.min("id").alias("first"))
     copies = Staged(basics.where(F.col("n_words") >= WINDOW).join(first, "digest").where("id > first").select("id", "digest").distinct(), "copies").df
     chunks = X.chunked(docs, key, text, n).groupBy("chunk")
-    skip = X.keyed_by_chunk(copies, n).select("chunk", "id", F.lit(None).cast("binary").alias("data"))
-    answers = lambda df: df.select("chunk", F.lit(0).cast("long").alias("id"), "data").unionByName(skip).groupBy("chunk")
+    skip = X.keyed_by_chunk(copies, n).select("chunk", "id", "digest", F.lit(None).cast("binary").alias("data"))
+    answers = lambda df: df.select("chunk", F.lit(0).cast("long").alias("id"), F.lit(None).cast("binary").alias("digest"), "data").unionByName(skip).groupBy("chunk")
 
     message = "bucket int, chunk int, data binary"
     sent = chunks.cogroup(skip.groupBy("chunk")).applyInPandas(_probe(width, n), message)

@@ -13,7 +13,8 @@ the repeats; of each class the occurrence of the smallest (id, start) stays.
 An anchor in more than `exchange.HOT` chunks, or with more than SEGMENTS distinct segments in its bucket, is
 taken apart into its single strings, which are dealt by their own hash, so no anchor gathers in one task.
 Texts equal to an earlier one are settled by a digest of the whole text. Null and empty texts have no bytes;
-texts shorter than SPAN lose none; rows that repeat an id and text get the same result.
+texts shorter than SPAN lose none; rows that repeat an id and text get the same result; null ids count as one id
+after all others, and different texts of one id are rows of their own, in the order of their texts.
 """
 
 import hashlib
@@ -41,7 +42,7 @@ BATCH = 500_000
 _RNG = np.random.default_rng(17)
 BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = int(_RNG.integers(0, 2**62)) * 4 + 3
-SEGMENT = np.dtype([("h", "<u8"), ("id", "<i8"), ("pos", "<u4"), ("size", "<u4")])
+SEGMENT = np.dtype([("h", "<u8"), ("id", "<i8"), ("nth", "<u4"), ("pos", "<u4"), ("size", "<u4")])
 
 
 def power(n: int) -> np.uint64:
@@ -112,6 +113,10 @@ def _bytes_of(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
+def _digest_of(text: str) -> bytes:
+    return hashlib.sha256(_bytes_of(text)).digest()[:16]
+
+
 def _probe(width: int, n: int):
     """Chunk -> buckets: the hash of every anchor once, flagged where it occurs again."""
     drop = np.uint64(66 - 8 * width)
@@ -119,7 +124,7 @@ def _probe(width: int, n: int):
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         skip, _ = _split(right)
         parts = []
-        for _, text in _rows(left, skip):
+        for _, _, text in _rows(left, skip, _digest_of):
             data = np.frombuffer(_bytes_of(text), np.uint8)
             if len(data) >= SPAN:
                 parts.append(anchors(data)[0])
@@ -134,7 +139,7 @@ def _probe(width: int, n: int):
     return run
 
 
-def packed_runs(rows: list[tuple[int, int, int]]) -> bytes:
+def packed_runs(rows: list[tuple[int, int, int, int]]) -> bytes:
     return np.array(rows, RUN).tobytes()
 
 
@@ -150,17 +155,17 @@ def _segments(width: int, n: int):
         live = np.sort(np.concatenate([X.unpack(a, width) for a in answers]))
         hot, live = (live & np.uint64(1)).astype(bool), live >> np.uint64(2)
         seen: set[bytes] = set()
-        again: list[tuple[int, int, int]] = []
-        found: list[tuple[int, int, int, bytes]] = []
+        again: list[tuple[int, int, int, int]] = []
+        found: list[tuple[int, int, int, int, bytes]] = []
 
-        def take(h: int, doc: int, start: int, piece: bytes) -> None:
+        def take(h: int, doc: int, nth: int, start: int, piece: bytes) -> None:
             if piece in seen:
-                again.append((doc, start, start + len(piece)))
+                again.append((doc, nth, start, start + len(piece)))
             else:
                 seen.add(piece)
-                found.append((h, doc, start, piece))
+                found.append((h, doc, nth, start, piece))
 
-        for doc, text in _rows(left, skip):
+        for doc, nth, text in _rows(left, skip, _digest_of):
             raw = _bytes_of(text)
             if len(raw) < SPAN:
                 continue
@@ -173,17 +178,17 @@ def _segments(width: int, n: int):
                 if wide:  # every string alone, dealt by its own hash
                     for s in range(a, b + 1):
                         piece = raw[s : s + SPAN]
-                        take(int.from_bytes(digest_of_bytes(piece), "little"), doc, s, piece)
+                        take(int.from_bytes(digest_of_bytes(piece), "little"), doc, nth, s, piece)
                 else:
-                    take(x, doc, a, raw[a : b + SPAN])
+                    take(x, doc, nth, a, raw[a : b + SPAN])
         rows = [(-1, key[0], packed_runs(again))] if again else []
         if found:
             found.sort(key=lambda x: x[0])
-            h, doc, pos = (np.array([x[k] for x in found], t) for k, t in ((0, np.uint64), (1, np.int64), (2, np.uint32)))
+            h, doc, nth, pos = (np.array([x[k] for x in found], t) for k, t in ((0, np.uint64), (1, np.int64), (2, np.uint32), (3, np.uint32)))
             meta = np.empty(len(found), SEGMENT)
-            meta["h"], meta["id"], meta["pos"], meta["size"] = h, doc, pos, [len(x[3]) for x in found]
+            meta["h"], meta["id"], meta["nth"], meta["pos"], meta["size"] = h, doc, nth, pos, [len(x[4]) for x in found]
             for b, s, e in X.by_bucket(h, n):
-                rows.append((b, key[0], np.int64(e - s).tobytes() + meta[s:e].tobytes() + b"".join(x[3] for x in found[s:e])))
+                rows.append((b, key[0], np.int64(e - s).tobytes() + meta[s:e].tobytes() + b"".join(x[4] for x in found[s:e])))
         return pd.DataFrame(rows, columns=["bucket", "chunk", "data"])
 
     return run
@@ -239,43 +244,43 @@ def string_digests(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np
 
 def _later(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Bucket -> chunks: the SPAN-byte strings that also start earlier, as runs."""
-    first: dict[bytes, tuple[int, int, int, int]] = {}  # segment -> its first (id, start, chunk, anchor)
-    gone: dict[int, list[tuple[int, int, int]]] = {}
+    first: dict[bytes, tuple[int, int, int, int, int]] = {}  # segment -> its first (id, nth, start, chunk, anchor)
+    gone: dict[int, list[tuple[int, int, int, int]]] = {}
     for chunk, data in zip(pdf["chunk"].tolist(), pdf["data"]):
         n = int(np.frombuffer(data, np.int64, 1)[0])
         meta = np.frombuffer(data, SEGMENT, n, 8)
         at = 8 + n * SEGMENT.itemsize
-        for h, doc, pos, size in zip(meta["h"].tolist(), meta["id"].tolist(), meta["pos"].tolist(), meta["size"].tolist()):
+        for h, doc, nth, pos, size in zip(*(meta[c].tolist() for c in ("h", "id", "nth", "pos", "size"))):
             piece = data[at : at + size]
             at += size
-            now, old = (doc, pos, chunk, h), first.get(piece)
+            now, old = (doc, nth, pos, chunk, h), first.get(piece)
             if old is not None:
                 now, old = min(now, old), max(now, old)
-                gone.setdefault(old[2], []).append((old[0], old[1], old[1] + size))
+                gone.setdefault(old[3], []).append((old[0], old[1], old[2], old[2] + size))
             first[piece] = now
     by_anchor: dict[int, list[bytes]] = {}
-    for piece, (_, _, _, h) in first.items():
+    for piece, (_, _, _, _, h) in first.items():
         by_anchor.setdefault(h, []).append(piece)
 
     def settle(classes: dict) -> None:
         for members in classes.values():
             if len(members) > 1:
-                for doc, pos, chunk in sorted(members)[1:]:
-                    gone.setdefault(chunk, []).append((doc, pos, pos + SPAN))
+                for doc, nth, pos, chunk in sorted(members)[1:]:
+                    gone.setdefault(chunk, []).append((doc, nth, pos, pos + SPAN))
 
     def take_apart(pieces: list[bytes]) -> None:
         """All strings of many segments by 128-bit digest, in arrays; runs of removed strings join."""
         owner, start, digests = string_digests(pieces)
-        doc, pos, chunk = (np.array([first[p][k] for p in pieces], np.int64)[owner] for k in (0, 1, 2))
+        doc, nth, pos, chunk = (np.array([first[p][k] for p in pieces], np.int64)[owner] for k in (0, 1, 2, 3))
         pos = pos + start
-        order = np.lexsort((pos, doc, digests[1], digests[0]))
+        order = np.lexsort((pos, nth, doc, digests[1], digests[0]))
         again = np.append(False, (digests[0][order][1:] == digests[0][order][:-1]) & (digests[1][order][1:] == digests[1][order][:-1]))
         at = order[again]
-        at = at[np.lexsort((pos[at], doc[at], chunk[at]))]
+        at = at[np.lexsort((pos[at], nth[at], doc[at], chunk[at]))]
         if len(at):
-            cut = np.flatnonzero((doc[at][1:] != doc[at][:-1]) | (pos[at][1:] > pos[at][:-1] + SPAN)) + 1
+            cut = np.flatnonzero((doc[at][1:] != doc[at][:-1]) | (nth[at][1:] != nth[at][:-1]) | (pos[at][1:] > pos[at][:-1] + SPAN)) + 1
             for a, b in zip(np.append(0, cut).tolist(), np.append(cut, len(at)).tolist()):
-                gone.setdefault(int(chunk[at[a]]), []).append((int(doc[at[a]]), int(pos[at[a]]), int(pos[at[b - 1]]) + SPAN))
+                gone.setdefault(int(chunk[at[a]]), []).append((int(doc[at[a]]), int(nth[at[a]]), int(pos[at[a]]), int(pos[at[b - 1]]) + SPAN))
 
     batch: list[list[bytes]] = []
     size = 0
@@ -285,8 +290,8 @@ def _later(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         for pieces, found in zip(batch, repeats(batch)):
             classes: dict[int, list] = {}
             for p, start, c in found:
-                doc, pos, chunk, _ = first[pieces[p]]
-                classes.setdefault(c, []).append((doc, pos + start, chunk))
+                doc, nth, pos, chunk, _ = first[pieces[p]]
+                classes.setdefault(c, []).append((doc, nth, pos + start, chunk))
             settle(classes)
             for own in gone.values():  # so that runs, not strings, pile up
                 if len(own) > 50_000:
@@ -308,14 +313,14 @@ def _later(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(c, packed_runs(joined(r))) for c, r in gone.items()], columns=["chunk", "data"])
 
 
-def joined(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def joined(runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Overlapping runs of one text as one."""
-    out: list[tuple[int, int, int]] = []
-    for doc, s, e in sorted(set(runs)):
-        if out and out[-1][0] == doc and s <= out[-1][2]:
-            out[-1] = (doc, out[-1][1], max(e, out[-1][2]))
+    out: list[tuple[int, int, int, int]] = []
+    for doc, nth, s, e in sorted(set(runs)):
+        if out and out[-1][:2] == (doc, nth) and s <= out[-1][3]:
+            out[-1] = (doc, nth, out[-1][2], max(e, out[-1][3]))
         else:
-            out.append((doc, s, e))
+            out.append((doc, nth, s, e))
     return out
 
 
@@ -323,15 +328,15 @@ def _cut(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """The texts of a chunk without their repeated runs."""
     skip, answers = _split(right)
     spans, rows = covered(answers), []
-    for doc, text in _rows(left, skip) if spans else []:
-        if doc in spans:
+    for doc, nth, text in _rows(left, skip, _digest_of) if spans else []:
+        if (doc, nth) in spans:
             raw, kept, at = _bytes_of(text), [], 0
-            for s, e in spans[doc]:
+            for s, e in spans[doc, nth]:
                 kept.append(raw[at:s])
                 at = e
             kept.append(raw[at:])
             left_over = b"".join(kept)
-            rows.append((doc, hashlib.sha256(raw).digest()[:16], len(raw) - len(left_over), left_over, [{"start": s, "end": e} for s, e in spans[doc]]))
+            rows.append((doc, _digest_of(text), len(raw) - len(left_over), left_over, [{"start": s, "end": e} for s, e in spans[doc, nth]]))
     return pd.DataFrame(rows, columns=["id", "digest", "n_removed", "kept", "runs"])
 
 
@@ -351,8 +356,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tu
     long_ = basics.where(F.col("n_bytes") >= SPAN)
     copies = Staged(long_.join(long_.groupBy("digest").agg(F.min("id").alias("first")), "digest").where("id > first").select("id", "digest").distinct(), "copies").df
     chunks = X.chunked(docs, key, text, n).groupBy("chunk")
-    skip = X.keyed_by_chunk(copies, n).select("chunk", "id", F.lit(None).cast("binary").alias("data"))
-    answers = lambda df: df.select("chunk", F.lit(0).cast("long").alias("id"), "data").unionByName(skip).groupBy("chunk")
+    skip = X.keyed_by_chunk(copies, n).select("chunk", "id", "digest", F.lit(None).cast("binary").alias("data"))
+    answers = lambda df: df.select("chunk", F.lit(0).cast("long").alias("id"), F.lit(None).cast("binary").alias("digest"), "data").unionByName(skip).groupBy("chunk")
 
     message = "bucket int, chunk int, data binary"
     sent = chunks.cogroup(skip.groupBy("chunk")).applyInPandas(_probe(width, n), message)

@@ -304,6 +304,24 @@ def test_null_ids_and_repeats(spark):
         assert found.count() == 5
 
 
+@pytest.mark.parametrize("chunk", [500_000, 400])
+def test_texts_of_one_id(spark, chunk, monkeypatch):
+    """Different texts without an id, or of one id, are searched and cut each for itself."""
+    monkeypatch.setattr(substring, "CHUNK_WORDS", chunk)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk * 6)
+    shared, copy = prose(40), prose(60)
+    for ids in ((None, None, None, None), (9, 9, 9, 9)):
+        texts = [copy, prose(25) + " " + shared + " " + prose(5), prose(90), shared + " " + prose(45)]
+        for some in (texts, texts[1:]):
+            rows = [(1, copy), (2, prose(10) + " " + shared), *zip(ids, some), *zip(ids, some[:2])]
+            df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+            order = sorted({(2**63 - 1 if i is None else i, t) for i, t in rows})
+            for module, brute, n in ((suffix_dedup, removed_bytes, "n_bytes"), (substring, removed_words, "n_words")):
+                due = brute(list(enumerate(t for _, t in order)))  # ids in the order of (id, text)
+                want = sorted(str((i, *due[order.index((2**63 - 1 if i is None else i, t))])) for i, t in rows)
+                assert sorted(str((r["doc_id"], r[n], r["n_removed"], r["kept_sha256"])) for r in module.digest(df).collect()) == want
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline
 
