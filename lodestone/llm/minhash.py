@@ -16,7 +16,8 @@ on the full sets, in whole numbers. BANDS x ROWS miss a pair at the threshold wi
 (1 - (NUM/DEN)**ROWS)**BANDS = 3e-7, and any one at a higher similarity less often.
 
 Null, empty and wordless texts have no set and stay alone; texts of fewer words than SHINGLE are one shingle.
-Rows that repeat an id count as one vertex.
+Rows that repeat an id count as one vertex; every row without an id is a vertex of its own after all ids, and
+components of such rows alone have no id: all of them stay.
 """
 
 import hashlib
@@ -80,6 +81,14 @@ def least_matches(n: int, threshold: float, miss: float = MISS) -> int:
     return n
 
 
+def numbered(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, int]:
+    """(docs with __vertex, the largest id): rows without an id get numbers above all ids, and are staged to keep them."""
+    top = docs.agg(F.max(F.col(key).cast("long"))).first()[0]
+    top = -1 if top is None else top
+    nulls = Staged(docs.where(F.col(key).isNull()).withColumn("__vertex", F.lit(top + 1).cast("long") + F.monotonically_increasing_id()), "no-id").df
+    return docs.where(F.col(key).isNotNull()).withColumn("__vertex", F.col(key).cast("long")).unionByName(nulls), top
+
+
 def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, n_shingles, set_key, sig): the size, digest and signature of each whole text's set."""
 
@@ -249,6 +258,20 @@ def _same_differences(docs: DataFrame, key: str, text: str, members: DataFrame)
     return _ordered(both.unionByName(mixed).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
 
 
+def stays(top: int):
+    """Whether a row of classes() over numbered rows stays: the smallest id of its component does, and all rows of one without ids."""
+    return (F.col("id") == F.col("component_id")) | (F.col("component_id") > top)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
-    return classes(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    rows, top = numbered(docs)
+    known = lambda c: F.when(F.col(c) <= top, F.col(c)).cast(docs.schema["doc_id"].dataType)
+    return classes(rows, "__vertex").select(known("id").alias("doc_id"), "n_shingles", known("component_id").alias("component_id"), stays(top).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, those without an id judged each for itself."""
+    rows, top = numbered(docs)
+    keep = classes(rows, "__vertex").where(stays(top)).select(F.col("id").alias("__vertex")).distinct()
+    return rows.join(keep, "__vertex", "left_semi").select(*docs.columns)

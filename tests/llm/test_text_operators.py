@@ -322,6 +322,22 @@ def test_texts_of_one_id(spark, chunk, monkeypatch):
                 assert sorted(str((r["doc_id"], r[n], r["n_removed"], r["kept_sha256"])) for r in module.digest(df).collect()) == want
 
 
+def test_near_copies_without_id(spark):
+    """Rows without an id go if they're near copies of a row with one, and are compared even if their text has no id at all."""
+    import corpus_pipeline
+
+    base, other, third = prose(120).split(), prose(120), prose(60).split()
+    near = " ".join([*base[:-1], "zz"])
+    end = " ".join([*third[:-1], "zz"])
+    rows = [(4, " ".join(base)), (None, " ".join(base)), (None, near), (None, other), (None, other), (None, None), (None, ""), (6, " ".join(third)), (5, end), (None, "a b"), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = sorted([(4, rows[0][1]), (None, other), (None, other), (None, None), (None, ""), (5, end), (None, "a b"), (7, None)], key=str)
+    assert sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()), key=str) == want
+    got = minhash.digest(df).collect()
+    assert len(got) == len(rows) and sum(r["kept"] for r in got) == len(want)
+    assert sorted(str(r["component_id"]) for r in got if r["doc_id"] is None) == sorted(["4", "4"] + ["None"] * 5)
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline
 
