@@ -11,9 +11,10 @@ their differences from L, as many as this bound leaves (a prefix filter), and co
 copies that each differ in their own way hardly meet.
 
 A candidate's signatures are compared batch by batch; after each batch the pair is given up if the posterior
-probability of a similarity of NUM/DEN or more has fallen below MISS (uniform prior). What survives is verified
-on the full sets, in whole numbers. BANDS x ROWS miss a pair at the threshold with probability
-(1 - (NUM/DEN)**ROWS)**BANDS = 3e-7, and any one at a higher similarity less often.
+probability of a similarity of num/DEN or more has fallen below MISS (uniform prior). What survives is verified
+on the full sets, in whole numbers. n_bands x ROWS miss a pair at the threshold with probability
+(1 - (num/DEN)**ROWS)**n_bands = 3e-7, and any one at a higher similarity less often: 26 bands for the 85/100 of
+op6, 38 for the 80/100 of the pipeline.
 
 Null, empty and wordless texts have no set and stay alone; texts of fewer words than SHINGLE are one shingle.
 Rows that repeat an id count as one vertex; every row without an id is a vertex of its own after all ids, and
@@ -36,14 +37,16 @@ from lodestone.llm.grams import WordHash, grams, hashes
 
 SHINGLE, NUM, DEN = 5, 85, 100
 BANDS, ROWS = 26, 5
+#: Threshold (of DEN) and bands of the pipeline's stage.
+STAGE_NUM, STAGE_BANDS = 80, 38
 MISS = 1e-7
 SEED = 5
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 _RNG = np.random.default_rng(SEED)
-FACTOR = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SHIFT = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+FACTOR, SHIFT = _RNG.integers(0, 2**63, (STAGE_BANDS * ROWS, 2), dtype=np.uint64).T.copy()
+FACTOR = FACTOR * np.uint64(2) + np.uint64(1)
 
 
 def words(text: str | None) -> list[str]:
@@ -57,13 +60,13 @@ def shingles(known: WordHash, text: str | None) -> np.ndarray:
     return np.unique(grams(hashes(known, found), min(SHINGLE, len(found)))) if found else np.empty(0, np.uint64)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
+def signature(s: np.ndarray, n_bands: int = BANDS) -> np.ndarray:
     """The smallest value of each hash function over a set, as 32-bit numbers."""
-    out = np.empty(BANDS * ROWS, np.uint64)
+    out = np.empty(n_bands * ROWS, np.uint64)
     step = max(1, 60_000 // len(s))
     for k in range(0, len(out), step):
-        values = s[None, :] * FACTOR[k : k + step, None]
-        values += SHIFT[k : k + step, None]
+        values = s[None, :] * FACTOR[k : min(k + step, len(out)), None]
+        values += SHIFT[k : min(k + step, len(out)), None]
         out[k : k + step] = values.min(axis=1)
     return (out >> np.uint64(32)).astype(np.uint32)
 
@@ -89,7 +92,7 @@ def numbered(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, int]:
     return docs.where(F.col(key).isNotNull()).withColumn("__vertex", F.col(key).cast("long")).unionByName(nulls), top
 
 
-def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
+def sketch(docs: DataFrame, key: str, text: str, n_bands: int) -> DataFrame:
     """(id, n_shingles, set_key, sig): the size, digest and signature of each whole text's set."""
 
     @F.pandas_udf("n long, set_key binary, sig binary")
@@ -99,23 +102,23 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
             rows = []
             for t in texts:
                 s = shingles(known, t)
-                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signature(s).tobytes()) if len(s) else (0, None, None))
+                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signature(s, n_bands).tobytes()) if len(s) else (0, None, None))
             yield pd.DataFrame(rows, columns=["n", "set_key", "sig"])
 
     return docs.select(F.col(key).alias("id"), run(text_or_empty(text)).alias("s")).select("id", F.col("s.n").alias("n_shingles"), "s.set_key", "s.sig")
 
 
-def bands(reps: DataFrame) -> DataFrame:
+def bands(reps: DataFrame, n_bands: int) -> DataFrame:
     """(band, rep): a row for each band of each class."""
     width = 4 * ROWS
-    keys = F.array(*(F.xxhash64(F.lit(k), F.substring("sig", k * width + 1, width)) for k in range(BANDS)))
+    keys = F.array(*(F.xxhash64(F.lit(k), F.substring("sig", k * width + 1, width)) for k in range(n_bands)))
     return reps.select("rep", F.explode(keys).alias("band"))
 
 
-def plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def plausible(pairs: DataFrame, reps: DataFrame, num: int, n_bands: int) -> DataFrame:
     """The pairs (a, b) that sequential verification of their signatures doesn't rule out."""
-    n = BANDS * ROWS
-    steps = [(upto, least_matches(upto, NUM / DEN)) for upto in range(2 * BANDS, n + 1, BANDS)]
+    n = n_bands * ROWS
+    steps = [(upto, least_matches(upto, num / DEN)) for upto in range(2 * n_bands, n + 1, n_bands)]
 
     @F.pandas_udf("boolean")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -147,8 +150,8 @@ def sets_of(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFram
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi").select("id", run(text_or_empty()).alias("items"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets have 100 x intersection >= 85 x union."""
+def verified(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
+    """The pairs whose full sets have DEN x intersection >= num x union."""
 
     @F.pandas_udf("boolean")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -156,7 +159,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for p, q in zip(x, y):
             a, b = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
             shared = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(DEN * shared >= NUM * (len(a) + len(b) - shared))
+            out.append(DEN * shared >= num * (len(a) + len(b) - shared))
         return pd.Series(out, dtype=bool)
 
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
@@ -164,14 +167,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(run("items_a", "items_b")).select("a", "b")
 
 
-def links(docs: DataFrame, key: str, text: str, reps: DataFrame, pairs: DataFrame) -> tuple[Staged, Staged]:
+def links(docs: DataFrame, key: str, text: str, reps: DataFrame, pairs: DataFrame, num: int, n_bands: int) -> tuple[Staged, Staged]:
     """(pairs looked at, links among them), both staged."""
     looked = Staged(pairs, "looked")
-    alive = Staged(plausible(looked.df, reps), "alive")
+    alive = Staged(plausible(looked.df, reps, num, n_bands), "alive")
     wanted = alive.df.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = Staged(sets_of(docs, key, text, wanted), "sets")
     free_shuffles(docs.sparkSession)
-    found = Staged(verified(alive.df, sets.df), "links")
+    found = Staged(verified(alive.df, sets.df, num), "links")
     sets.drop()
     alive.drop()
     free_shuffles(docs.sparkSession)
@@ -182,28 +185,28 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for every row of docs."""
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = NUM, n_bands: int = BANDS) -> DataFrame:
+    """(id, n_shingles, component_id) for every row of docs; texts of similarity num/DEN or more are linked."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    sketched = Staged(sketch(docs, key, text), "sketch")
+    sketched = Staged(sketch(docs, key, text, n_bands), "sketch")
     firsts = sketched.df.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep"))
     reps = Staged(firsts.join(sketched.df.select(F.col("id").alias("rep"), F.col("set_key").alias("__k"), "sig"), "rep").where("set_key = __k").select("rep", "set_key", "sig").dropDuplicates(["rep", "set_key"]), "classes")
     free_shuffles(spark)
 
     # Buckets of one member lead nowhere; of two, only to the leader.
-    kept = bands(reps.df).groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1")
-    held = Staged(bands(reps.df).join(kept, "band"), "bands")
+    kept = bands(reps.df, n_bands).groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1")
+    held = Staged(bands(reps.df, n_bands).join(kept, "band"), "bands")
     free_shuffles(spark)
 
-    looked, found = links(docs, key, text, reps.df, _ordered(held.df.select(F.col("low").alias("a"), F.col("rep").alias("b"))))
+    looked, found = links(docs, key, text, reps.df, _ordered(held.df.select(F.col("low").alias("a"), F.col("rep").alias("b"))), num, n_bands)
     stars = components(found.df.select(F.col("b").alias("u"), F.col("a").alias("v")))
     free_shuffles(spark)
     members = Staged(_unsettled(held.df.where("n > 2"), stars.df), "unsettled")
     held.drop()
-    pairs = Staged(_same_differences(docs, key, text, members.df), "pairs")
+    pairs = Staged(_same_differences(docs, key, text, members.df, num), "pairs")
     free_shuffles(spark)
-    _, more = links(docs, key, text, reps.df, pairs.df.join(looked.df, ["a", "b"], "left_anti"))
+    _, more = links(docs, key, text, reps.df, pairs.df.join(looked.df, ["a", "b"], "left_anti"), num, n_bands)
     stars = components(stars.df.unionByName(more.df.select(F.col("b").alias("u"), F.col("a").alias("v"))))
     by_class = reps.df.select("set_key", "rep").join(stars.df.select(F.col("u").alias("rep"), F.col("v").alias("top")), "rep", "left").select("set_key", F.coalesce("top", "rep").alias("component"))
     return sketched.df.select("id", "n_shingles", "set_key").join(by_class, "set_key", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
@@ -216,30 +219,35 @@ def _unsettled(held: DataFrame, stars: DataFrame) -> DataFrame:
     return named.join(mixed, "band", "left_semi").where("rep <> leader").select("leader", "rep", "c").distinct()
 
 
-def _differences(own: pd.Series, led: pd.Series) -> pd.DataFrame:
+def _differences(own: pd.Series, led: pd.Series, num: int) -> pd.DataFrame:
     """Of sets and their leaders': whether they're not similar; the differences; how many of the rarest of them meet.
 
-    `few` is for partners of a set that is apart: those share more than bound / (NUM + DEN) differences. `many` is for
-    a set that is apart, towards partners that are similar to the leader: they share spare / (NUM + DEN) at least.
+    `few` is for partners of a set that is apart: those share more than bound / (num + DEN) differences. `many` is for
+    a set that is apart, towards partners that are similar to the leader: they share spare / (num + DEN) at least.
     """
     rows = []
     for x, y in zip(own, led):
         a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         more, less = np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)
-        spare = NUM * (len(b) + len(more)) - DEN * (len(b) - len(less))  # positive: not similar
-        bound = NUM * len(more) + DEN * len(less)
+        spare = num * (len(b) + len(more)) - DEN * (len(b) - len(less))  # positive: not similar
+        bound = num * len(more) + DEN * len(less)
         n = len(more) + len(less)
-        rows.append((spare > 0, n - bound // (NUM + DEN), n - max(1, -(-spare // (NUM + DEN))) + 1, bound, (DEN - NUM) * len(b), np.concatenate([more, ~less]).view(np.int64)))
+        rows.append((spare > 0, n - bound // (num + DEN), n - max(1, -(-spare // (num + DEN))) + 1, bound, (DEN - num) * len(b), np.concatenate([more, ~less]).view(np.int64)))
     return pd.DataFrame(rows, columns=["apart", "few", "many", "bound", "slack", "items"])
 
 
-def _same_differences(docs: DataFrame, key: str, text: str, members: DataFrame) -> DataFrame:
+def _same_differences(docs: DataFrame, key: str, text: str, members: DataFrame, num: int) -> DataFrame:
     """(a, b): members of one leader, in different components and at least one apart from it, whose rarest differences meet."""
+
+    @F.pandas_udf("apart boolean, few int, many int, bound long, slack long, items array<long>")
+    def differences(own: pd.Series, led: pd.Series) -> pd.DataFrame:
+        return _differences(own, led, num)
+
     wanted = members.select(F.explode(F.array("leader", "rep")).alias("id")).distinct()
     sets = Staged(sets_of(docs, key, text, wanted), "sets")
     free_shuffles(docs.sparkSession)
     own, led = sets.df.select(F.col("id").alias("rep"), F.col("items").alias("own")), sets.df.select(F.col("id").alias("leader"), F.col("items").alias("led"))
-    split = Staged(members.join(own, "rep").join(led, "leader").select("leader", "rep", "c", F.pandas_udf(_differences, "apart boolean, few int, many int, bound long, slack long, items array<long>")("own", "led").alias("d")).select("leader", "rep", "c", "d.*"), "differences")
+    split = Staged(members.join(own, "rep").join(led, "leader").select("leader", "rep", "c", differences("own", "led").alias("d")).select("leader", "rep", "c", "d.*"), "differences")
     sets.drop()
     free_shuffles(docs.sparkSession)
     each = split.df.select("leader", "rep", F.explode("items").alias("e"))
@@ -252,7 +260,7 @@ def _same_differences(docs: DataFrame, key: str, text: str, members: DataFrame)
     many = met.where("apart").select("leader", F.col("own").alias("x"), F.explode(rare("many")).alias("e"))
     x, y = few.select("leader", "e", F.col("own").alias("x")).where("x.apart"), few.select("leader", "e", F.col("own").alias("y"))
     # What both differ in alike is at most what either shares with anybody, and has to make up for all differences.
-    enough = f"x.c <> y.c and least(x.k, y.k) * {NUM + DEN} >= x.bound + y.bound - x.slack"
+    enough = f"x.c <> y.c and least(x.k, y.k) * {num + DEN} >= x.bound + y.bound - x.slack"
     both = x.join(y.where("y.apart"), ["leader", "e"]).where(f"x.rep < y.rep and {enough}")
     mixed = many.join(y.where("not y.apart"), ["leader", "e"]).where(enough)
     return _ordered(both.unionByName(mixed).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
@@ -271,7 +279,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, those without an id judged each for itself."""
+    """The rows of docs that stay at STAGE_NUM/DEN, those without an id judged each for itself."""
     rows, top = numbered(docs)
-    keep = classes(rows, "__vertex").where(stays(top)).select(F.col("id").alias("__vertex")).distinct()
+    keep = classes(rows, "__vertex", num=STAGE_NUM, n_bands=STAGE_BANDS).where(stays(top)).select(F.col("id").alias("__vertex")).distinct()
     return rows.join(keep, "__vertex", "left_semi").select(*docs.columns)

@@ -338,6 +338,17 @@ def test_near_copies_without_id(spark):
     assert sorted(str(r["component_id"]) for r in got if r["doc_id"] is None) == sorted(["4", "4"] + ["None"] * 5)
 
 
+def test_threshold_of_the_stage(spark):
+    """Two words of 120 changed leave 106 of 126 shingles: a near copy for the pipeline's stage, not for op6."""
+    import corpus_pipeline
+
+    base = [f"v{i}" for i in range(120)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:40], "x", *base[41:80], "y", *base[81:]])), (3, " ".join([*base[:20], "x", *base[21:50], "y", *base[51:80], "z", *base[81:]])), (4, prose(100))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()) == [1, 3, 4]
+    assert sorted(r["doc_id"] for r in minhash.digest(df).where("kept").collect()) == [1, 2, 3, 4]
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline
 
