@@ -5,7 +5,7 @@ text, give its density. The densities of a node's children are summed; the node
 content, and the smallest density on its path to body is the threshold above which other parts of the
 page count as content too (of each such part again its subtree of the largest sum). Boilerplate (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) carries no density and no
-text. Null or empty html gives an empty text; unclosed tags, cut-off pages and bad references are read as
+text, but a wrapper called so by form, class, id or role is no boilerplate if the page's content is in it. Null or empty html gives an empty text; unclosed tags, cut-off pages and bad references are read as
 far as they go.
 """
 
@@ -25,7 +25,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 BLOCK = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend"}
 
-#: What is never main text: by element, by role, and by word of class or id.
+#: What isn't main text: by element, by role, and by class or id as a whole.
 DROP = set("head script style noscript template nav footer aside form button select option input textarea iframe object embed svg canvas dialog menu title noembed noframes".split())
 ROLES = set("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 WORDS = set("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus respond replies widget toolbar pagination pager skip hidden".split())
@@ -36,29 +36,36 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "chars", "links", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "mark", "drop", "chars", "links", "tags", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: "Node | None", drop: bool):
-        self.tag, self.parent, self.drop, self.children = tag, parent, drop, []
+    def __init__(self, tag: str, parent: "Node | None", mark: int):
+        self.tag, self.parent, self.mark, self.children = tag, parent, mark, []
+        self.drop = mark > 0 or parent is not None and parent.drop
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in DROP or tag == "header" and not in_article:
-        return True
+#: How sure a node is boilerplate: CALLED by form, class, id or role, which `spare` may take back, or FIRM.
+CALLED, FIRM = 1, 2
+
+
+def boilerplate(tag: str, attributes: str, in_article: bool) -> int:
+    """CALLED, FIRM, or 0 if it isn't boilerplate."""
+    if tag in DROP - {"form"} or tag == "header" and not in_article:
+        return FIRM
+    mark = CALLED if tag == "form" else 0
     if attributes and tag not in ("html", "body", "article", "main"):
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), (a or b or c).lower()
-            if name in ("class", "id") and not WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
-                return True
-            if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-    return False
+            if name == "hidden" or name == "aria-hidden" and value == "true":
+                return FIRM
+            if name in ("class", "id") and not WORDS.isdisjoint(value.split()) or name == "role" and value in ROLES:
+                mark = CALLED
+    return mark
 
 
 def parse(page: str) -> Node:
-    root = Node("html", None, False)
+    root = Node("html", None, 0)
     here, at, n = root, 0, len(page)
     depth_article = 0
     while at < n:
@@ -108,11 +115,11 @@ def parse(page: str) -> Node:
                     node = node.parent
                 if node.tag in own and node.parent is not None:
                     here = node.parent
-        node = Node(tag, here, here.drop or is_boilerplate(tag, m.group(3), depth_article > 0))
+        node = Node(tag, here, boilerplate(tag, m.group(3), depth_article > 0))
         here.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-            if not node.drop:
+            if tag not in DROP:
                 node.children.append(page[at : end.start() if end else n])
             at = end.end() if end else n
         elif tag not in VOID and not (m.group(3) or "").endswith("/") or tag not in VOID and tag in BLOCK:
@@ -131,6 +138,33 @@ def ordered(root: Node) -> list[Node]:
     return out
 
 
+def spare(nodes: list[Node], body: Node) -> None:
+    """Takes marks back that would drop the content: of nodes around a main; and of those around an article or most of the body's text outside links, unless an article or main is left beside them."""
+    if not any(n.mark == CALLED for n in nodes):
+        return
+    plain, inside = dict.fromkeys(nodes, 0), {n: set() for n in nodes}
+    for node in reversed(nodes):
+        if node.mark == FIRM:
+            continue
+        for c in node.children:
+            if isinstance(c, str):
+                plain[node] += len(SPACE.sub(" ", c).strip())
+            elif c.mark != FIRM:
+                plain[node] += plain[c] if c.tag != "a" else 0
+                inside[node] |= inside[c] | ({c.tag} & {"article", "main"})
+
+    def free(wrong) -> None:
+        for node in nodes:
+            if node.mark == CALLED and wrong(node):
+                node.mark = 0
+            node.drop = node.mark > 0 or node.parent is not None and node.parent.drop
+
+    free(lambda n: "main" in inside[n])
+    left = any(n.tag in ("article", "main") and not n.drop for n in nodes)
+    within = lambda n: any(p.tag in ("article", "main") for p in ancestors(n))
+    free(lambda n: 2 * plain[n] > plain[body] and (not left or within(n)) or not left and "article" in inside[n])
+
+
 def measure(nodes: list[Node], body: Node) -> None:
     """Characters, link characters and tags of every node, then densities and the sums of their children's."""
     for node in reversed(nodes):
@@ -172,6 +206,7 @@ def select(root: Node) -> list[Node]:
     """The content subtrees in page order."""
     nodes = ordered(root)
     body = next((x for x in nodes if x.tag == "body"), root)
+    spare(nodes, body)
     measure(nodes, body)
     best = heaviest(body)
     path, threshold = best, best.density

@@ -201,6 +201,19 @@ def test_op5(spark):
     html.extract_text("<div" * 3000 + "<p>" * 3000 + "<a <b \"" * 2000)  # hostile, but ends
 
 
+def test_op5_wrappers():
+    """Layout classes and forms around the content don't take it along; boilerplate beside it still goes."""
+    said = ["A long paragraph of words that says a lot."] * 6
+    text, ps = " ".join(said), "<p>" + "</p><p>".join(said) + "</p>"
+    for name in ("content no-sidebar", "has-sidebar", "overflow-hidden", "with-comments", "sidebar", "content widget"):
+        for inner in (ps, f"<article>{ps}</article>", f"<main>{ps}</main>"):
+            assert html.extract_text(f"<body><div class='{name}'>{inner}</div><div class='ad'><p>Buy it now</p></div></body>") == text, (name, inner)
+        assert html.extract_text(f"<body><article><div class='x-{name}'>{ps}</div><div class='comments'><p>first</p></div></article></body>") == text
+    assert html.extract_text(f"<body><form action=x><nav><a href=x>Home</a></nav><div id=c>{ps}</div><footer>f</footer></form></body>") == text
+    assert html.extract_text(f"<body><article>{ps}</article><div class='comments'><article><p>{text} {text}</p></article></div><form><p>{text} {text}</p></form></body>") == text
+    assert html.extract_text(f"<body><div hidden><main>{text}</main></div><article>{ps}</article></body>") == text
+
+
 def brute_components(rows):
     known = minhash.WordHash()
     sets = {i: set(minhash.shingles(known, t).tolist()) for i, t in rows}
