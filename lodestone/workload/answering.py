@@ -42,7 +42,7 @@ def extractive_lines(spark, directory):
 
 def citation_resolve(spark, directory):
     """Markers 1, 2 and one that doesn't exist, in answers made up for every conversation turn."""
-    said = spark.read.parquet(f"{directory}/conversations.parquet").select(F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("qid"), F.concat(F.substring(F.translate("text", "[]", ""), 1, 40), F.lit(" [1][2] and ["), ((F.col("turn") % 3) + 2).cast("string"), F.lit("]")).alias("body"))
+    said = spark.read.parquet(f"{directory}/conversations.parquet").select(F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("qid"), F.concat(F.translate("text", "[]", ""), F.lit(" [1][2] and ["), ((F.col("turn") % 3) + 2).cast("string"), F.lit("]")).alias("body"))
     known = said.select("qid", F.explode(F.array(F.lit(1), F.lit(2))).alias("marker")).withColumn("chunk_id", F.concat_ws("#", "qid", F.col("marker").cast("string")))
     return A.resolve(said, known).select("qid", "marker", "valid")
 

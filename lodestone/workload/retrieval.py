@@ -76,7 +76,7 @@ def l2_normalize(spark, directory):
 
 
 def hashed_embedding(spark, directory):
-    items = questions(spark, directory).select(F.col("qid").alias("chunk_id"), F.substring("text", 1, 60).alias("text"))
+    items = questions(spark, directory).select(F.col("qid").alias("chunk_id"), "text")
     return I.hashed(items).select("chunk_id", "bucket", "weight")
 
 

@@ -150,3 +150,22 @@ def test_settings(spark):
 
     with pytest.raises(CitationError):
         Answer("x", False, "", "lookup")
+
+
+def test_hashing_embedder_whole_texts(spark, data):
+    """Every gram of every benchmark item, by brute force."""
+    import hashlib
+    import re
+    from collections import Counter
+
+    from lodestone.workload import retrieval
+
+    want = Counter()
+    for r in retrieval.questions(spark, data).collect():
+        for w in re.findall(r"\w+", r["text"].lower()):
+            edged = f"^{w}$"
+            for g in ["w:" + w] + [edged[i : i + n] for n in (3, 4, 5) for i in range(len(edged) - n + 1)]:
+                d = hashlib.md5(g.encode()).hexdigest()
+                want[r["qid"], int(d[:8], 16) % 384] += -1 if d[8] >= "8" else 1
+    got = {(r["chunk_id"], r["bucket"]): r["weight"] for r in retrieval.hashed_embedding(spark, data).collect()}
+    assert got == {k: float(v) for k, v in want.items() if v}
