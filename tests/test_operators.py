@@ -169,3 +169,23 @@ def test_hashing_embedder_whole_texts(spark, data):
                 want[r["qid"], int(d[:8], 16) % 384] += -1 if d[8] >= "8" else 1
     got = {(r["chunk_id"], r["bucket"]): r["weight"] for r in retrieval.hashed_embedding(spark, data).collect()}
     assert got == {k: float(v) for k, v in want.items() if v}
+
+
+def test_dense_queries_ask_every_twentieth(spark, data, monkeypatch):
+    """Every vector whose id is divisible by 20, against all, in several blocks."""
+    import numpy as np
+
+    from lodestone.operators import index
+    from lodestone.workload import retrieval
+
+    monkeypatch.setattr(index, "QUERY_BLOCK", 2)
+    rows = sorted((r["chunk_id"], r["label"], r["vector"]) for r in retrieval.vectors(spark, data).collect())
+    for run, those in ((retrieval.dense_topk, rows), (retrieval.dense_filtered, [r for r in rows if r[1] < 5])):
+        ids, m = [r[0] for r in those], np.array([r[2] for r in those], np.float64)
+        want = {}
+        for qid, _, v in rows:
+            if qid % 20 == 0:
+                scores = np.round(m @ np.array(v, np.float64), 6)
+                want |= {(qid, n + 1): (ids[k], scores[k]) for n, k in enumerate(np.lexsort((ids, -scores))[:10])}
+        got = {(r["qid"], r["rank"]): (r["chunk_id"], r["score"]) for r in run(spark, data).collect()}
+        assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
