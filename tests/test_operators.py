@@ -189,3 +189,15 @@ def test_dense_queries_ask_every_twentieth(spark, data, monkeypatch):
                 want |= {(qid, n + 1): (ids[k], scores[k]) for n, k in enumerate(np.lexsort((ids, -scores))[:10])}
         got = {(r["qid"], r["rank"]): (r["chunk_id"], r["score"]) for r in run(spark, data).collect()}
         assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+
+
+def test_ordered_scan_gives_all_rows(spark, data):
+    import pyarrow.parquet as pq
+
+    from lodestone.workload import relational
+
+    columns = ["l_orderkey", "l_linenumber", "l_quantity"]
+    want = pq.read_table(f"{data}/lineitem.parquet", columns=columns).to_pylist()
+    got = sorted(relational.ordered_scan(spark, data).collect(), key=lambda r: r["n"])
+    assert [r["n"] for r in got] == list(range(len(want)))
+    assert [tuple(r[c] for c in columns) for r in got] == [tuple(r[c] for c in columns) for r in want]
