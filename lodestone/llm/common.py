@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,12 +11,15 @@ from pyspark.sql import functions as F
 #: Arrow batches handed to Python: rows and bytes, so that long texts don't pile up in a worker.
 BATCH_ROWS = 2000
 BATCH_BYTES = 4 << 20
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. In local mode (tests), one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,12 +32,20 @@ def arrow_batches(spark: SparkSession) -> None:
 
 
 class Staged:
-    """A table written to the shared folder: it cuts lineage and survives lost executors."""
+    """A table written to the shared folder: it cuts lineage and survives lost executors.
+
+    Shuffle files of the job that wrote it aren't needed any more and are removed when it ends.
+    """
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        before = self.spark.conf.get(FREE_SHUFFLES, "false")
+        self.spark.conf.set(FREE_SHUFFLES, "true")
+        try:
+            df.write.parquet(self.path)
+        finally:
+            self.spark.conf.set(FREE_SHUFFLES, before)
         jvm = self.spark.sparkContext._jvm
         self._at = jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = self._at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -48,18 +57,25 @@ class Staged:
         self._fs.delete(self._at, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner remove shuffle files of finished jobs now instead of at some later collection."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)  # the cleaner and the executors work on their own
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_struct(docs: DataFrame, found: Column, names: list[str]) -> DataFrame:
+    """docs with the fields of a struct column as columns; columns of docs by these names are replaced."""
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    alias = free_name(docs, "found")
+    return docs.select(*keep, found.alias(alias)).select(*keep, *(F.col(f"`{alias}`.`{c}`") for c in names))
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Staged, arrow_batches, free_shuffles, text_or_empty
+from lodestone.llm.common import Staged, arrow_batches, text_or_empty
 from lodestone.llm.components import components
 from lodestone.llm.grams import WordHash, grams, hashes
 
@@ -173,11 +173,9 @@ def links(docs: DataFrame, key: str, text: str, reps: DataFrame, pairs: DataFram
     alive = Staged(plausible(looked.df, reps, num, n_bands), "alive")
     wanted = alive.df.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = Staged(sets_of(docs, key, text, wanted), "sets")
-    free_shuffles(docs.sparkSession)
     found = Staged(verified(alive.df, sets.df, num), "links")
     sets.drop()
     alive.drop()
-    free_shuffles(docs.sparkSession)
     return looked, found
 
 
@@ -192,20 +190,16 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int =
     sketched = Staged(sketch(docs, key, text, n_bands), "sketch")
     firsts = sketched.df.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep"))
     reps = Staged(firsts.join(sketched.df.select(F.col("id").alias("rep"), F.col("set_key").alias("__k"), "sig"), "rep").where("set_key = __k").select("rep", "set_key", "sig").dropDuplicates(["rep", "set_key"]), "classes")
-    free_shuffles(spark)
 
     # Buckets of one member lead nowhere; of two, only to the leader.
     kept = bands(reps.df, n_bands).groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1")
     held = Staged(bands(reps.df, n_bands).join(kept, "band"), "bands")
-    free_shuffles(spark)
 
     looked, found = links(docs, key, text, reps.df, _ordered(held.df.select(F.col("low").alias("a"), F.col("rep").alias("b"))), num, n_bands)
     stars = components(found.df.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    free_shuffles(spark)
     members = Staged(_unsettled(held.df.where("n > 2"), stars.df), "unsettled")
     held.drop()
     pairs = Staged(_same_differences(docs, key, text, members.df, num), "pairs")
-    free_shuffles(spark)
     _, more = links(docs, key, text, reps.df, pairs.df.join(looked.df, ["a", "b"], "left_anti"), num, n_bands)
     stars = components(stars.df.unionByName(more.df.select(F.col("b").alias("u"), F.col("a").alias("v"))))
     by_class = reps.df.select("set_key", "rep").join(stars.df.select(F.col("u").alias("rep"), F.col("v").alias("top")), "rep", "left").select("set_key", F.coalesce("top", "rep").alias("component"))
@@ -245,11 +239,9 @@ def _same_differences(docs: DataFrame, key: str, text: str, members: DataFrame,
 
     wanted = members.select(F.explode(F.array("leader", "rep")).alias("id")).distinct()
     sets = Staged(sets_of(docs, key, text, wanted), "sets")
-    free_shuffles(docs.sparkSession)
     own, led = sets.df.select(F.col("id").alias("rep"), F.col("items").alias("own")), sets.df.select(F.col("id").alias("leader"), F.col("items").alias("led"))
     split = Staged(members.join(own, "rep").join(led, "leader").select("leader", "rep", "c", differences("own", "led").alias("d")).select("leader", "rep", "c", "d.*"), "differences")
     sets.drop()
-    free_shuffles(docs.sparkSession)
     each = split.df.select("leader", "rep", F.explode("items").alias("e"))
     common = each.groupBy("leader", "e").agg(F.count("*").alias("f")).where("f > 1")
     shared = each.join(common, ["leader", "e"]).groupBy("leader", "rep").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("s"))  # at most a set

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import exchange as X
-from lodestone.llm.common import Staged, arrow_batches, free_shuffles, text_or_empty
+from lodestone.llm.common import Staged, arrow_batches, text_or_empty
 from lodestone.llm.grams import ODD, WordHash, grams, hashes
 
 WINDOW, BLOCK = 20, 10
@@ -228,14 +228,11 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tu
     message = "bucket int, chunk int, data binary"
     sent = chunks.cogroup(skip.groupBy("chunk")).applyInPandas(_probe(width, n), message)
     live = Staged(sent.groupBy("bucket").applyInPandas(X.live_hashes(width), "chunk int, data binary"), "live")
-    free_shuffles(spark)
     windows = Staged(chunks.cogroup(answers(live.df)).applyInPandas(_windows(width, n), message), "windows")
     live.drop()
-    free_shuffles(spark)
     later = Staged(windows.df.where("bucket >= 0").groupBy("bucket").applyInPandas(_later, "chunk int, data binary"), "later")
     local = Staged(windows.df.where("bucket < 0").select("chunk", "data"), "local")
     windows.drop()
-    free_shuffles(spark)
     cut = chunks.cogroup(answers(later.df.unionByName(local.df))).applyInPandas(_cut, CUT)
     return basics, copies, cut
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import exchange as X
-from lodestone.llm.common import Staged, arrow_batches, free_shuffles
+from lodestone.llm.common import Staged, arrow_batches
 from lodestone.llm.grams import mixed
 from lodestone.llm.gsaca import suffix_arrays
 from lodestone.llm.substring import RUN, _rows, _split, covered
@@ -362,14 +362,11 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tu
     message = "bucket int, chunk int, data binary"
     sent = chunks.cogroup(skip.groupBy("chunk")).applyInPandas(_probe(width, n), message)
     live = Staged(sent.groupBy("bucket").applyInPandas(X.live_hashes(width), "chunk int, data binary"), "live")
-    free_shuffles(spark)
     segments = Staged(chunks.cogroup(answers(live.df)).applyInPandas(_segments(width, n), message), "segments")
     live.drop()
-    free_shuffles(spark)
     later = Staged(segments.df.where("bucket >= 0").groupBy("bucket").applyInPandas(_later, "chunk int, data binary"), "later")
     local = Staged(segments.df.where("bucket < 0").select("chunk", "data"), "local")
     segments.drop()
-    free_shuffles(spark)
     cut = chunks.cogroup(answers(later.df.unionByName(local.df))).applyInPandas(_cut, CUT)
     return basics, copies, cut
 
