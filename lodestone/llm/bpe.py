@@ -3,16 +3,28 @@
 Two neighbouring bytes that stand side by side inside no token of the vocabulary can never be merged
 across, so a cut between them is certain. A text is cut at its special tokens, at the pre-tokenizer's
 boundaries and at every such byte pair; each fragment is encoded alone and the ids are concatenated.
-The result equals encoding the whole text. Fragments repeat a lot, so encoded words are kept in a bounded
-cache. Nulls are empty texts and have no tokens.
+The result equals encoding the whole text.
+
+The pre-tokenizer always cuts before a space that a non-space follows, so a text is first split there, which
+needs no pattern. Such pieces repeat a lot and are kept in a bounded cache; those of a batch of texts that
+aren't known are encoded together: one table look-up over their concatenated bytes finds the certain cuts, and
+all fragments take their lowest-ranked merge in the same step, as arrays.
+
+Nulls are empty texts and have no tokens; ties between equal pairs go to the leftmost; repeated rows get equal
+results, row by row; an empty table gives none. Long texts are worked off in slices, so what a task holds is
+bounded by an Arrow batch and a slice.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import heapq
 import json
+import re
+from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,12 +32,15 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_batches, text_or_empty
+from lodestone.llm.common import arrow_batches, text_or_empty, with_struct
 
-#: Words of more characters aren't kept; the cache is emptied when it holds so many words.
-CACHE_CHARS, CACHE_WORDS = 48, 150_000
-#: Fragments of at most so many bytes are merged by scanning, longer ones with a heap.
-SCAN_BYTES = 24
+#: Pieces of more characters aren't kept; the cache is emptied when it holds so many pieces.
+CACHE_CHARS, CACHE_PIECES = 48, 400_000
+#: Fragments of at most so many bytes are merged together with others, longer ones alone with a heap.
+SHARED_BYTES = 32
+#: Characters of texts that are split at once.
+SLICE_CHARS = 1 << 20
+NEVER = 1 << 30
 
 #: Fixed value: the pre-tokenizer's pattern of this vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -49,6 +64,10 @@ def byte_alphabet() -> dict[str, int]:
     return out
 
 
+#: Where the pre-tokenizer always cuts: before a space that no space follows. A space of any other use is ODD.
+CUT, ODD = re.compile(r" (?=\S)"), re.compile(r" (?=\s|\Z)")
+
+
 class Codec:
     """Encodes and decodes whole texts with a byte-level BPE vocabulary file."""
 
@@ -65,40 +84,36 @@ class Codec:
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             left, right = raw(left), raw(right)
             self.rank[vocab[left], vocab[right]] = (n, vocab[left + right])
-        self.single = [vocab[bytes([b])] for b in range(256)]
+        self.single = np.array([vocab[bytes([b])] for b in range(256)], np.int64)
         #: joined[a * 256 + b]: some token holds byte b right after byte a. Other pairs are forced boundaries.
-        self.joined = bytearray(65536)
+        self.joined = np.zeros(65536, bool)
         for token in vocab:
             for a, b in zip(token, token[1:]):
-                self.joined[a * 256 + b] = 1
+                self.joined[a * 256 + b] = True
+        self.base = max(self.bytes_of) + 1
+        pairs = sorted((a * self.base + b, n, new) for (a, b), (n, new) in self.rank.items())
+        self.keys, self.ranks = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+        self.merged = np.zeros(len(pairs), np.int64)
+        self.merged[self.ranks] = [p[2] for p in pairs]
         self.words = regex.compile(SPLIT)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, list[int]] = {}
-
-    def fragments(self, data: bytes) -> list[bytes]:
-        """Cut at every forced boundary."""
-        joined, out, start = self.joined, [], 0
-        for k in range(1, len(data)):
-            if not joined[data[k - 1] * 256 + data[k]]:
-                out.append(data[start:k])
-                start = k
-        out.append(data[start:])
+
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        """Whether a forced boundary lies before each byte."""
+        out = np.ones(len(data), bool)
+        out[1:] = ~self.joined[data[:-1].astype(np.int64) * 256 + data[1:]]
         return out
 
+    def ranked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids, NEVER for those that don't merge."""
+        key = a * self.base + b
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == key, self.ranks[at], NEVER) if len(self.keys) else np.full(len(key), NEVER)
+
     def merge(self, fragment: bytes) -> list[int]:
         """The lowest-ranked pair first, the leftmost among equals, until no pair is left."""
-        ids, rank = [self.single[b] for b in fragment], self.rank
-        if len(ids) <= SCAN_BYTES:
-            while len(ids) > 1:
-                best, at = None, -1
-                for k in range(len(ids) - 1):
-                    found = rank.get((ids[k], ids[k + 1]))
-                    if found and (best is None or found[0] < best[0]):
-                        best, at = found, k
-                if best is None:
-                    break
-                ids[at : at + 2] = [best[1]]
-            return ids
+        ids, rank = self.single[np.frombuffer(fragment, np.uint8)].tolist(), self.rank
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(found[0], k, found[1], ids[k], ids[k + 1]) for k in range(n - 1) if (found := rank.get((ids[k], ids[k + 1])))]
@@ -117,74 +132,217 @@ class Codec:
                     heapq.heappush(heap, (found[0], a, found[1], ids[a], ids[after[a]]))
         return [i for i in ids if i >= 0]
 
-    def word(self, word: str) -> list[int]:
-        """The ids of one pre-token."""
-        return [i for f in self.fragments(word.encode("utf-8")) for i in self.merge(f)]
-
-    def pieces(self, text: str):
-        """Special tokens as ids, and lists of pre-tokens for what lies between them."""
-        if self.parts is None or not any(s in text for s in self.special):
-            yield self.words.findall(text)
-            return
-        for part in self.parts.split(text):
-            if part in self.special:
-                yield self.special[part]
-            elif part:
-                yield self.words.findall(part)
+    def merge_all(self, data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their first bytes), in order, of many fragments: data has their bytes, start marks where each begins.
+
+        In a step every fragment that isn't done takes its lowest-ranked pair, the leftmost among equals.
+        """
+        ids, place = self.single[data], np.arange(len(data))
+        rank = np.full(len(data), NEVER)
+        inner = np.flatnonzero(~start[1:])
+        rank[inner] = self.ranked(ids[inner], ids[inner + 1])
+        done_ids, done_place = [], []
+        while len(ids):
+            head = np.flatnonzero(start)
+            size = np.diff(np.append(head, len(ids)))
+            low = np.minimum.reduceat(rank, head)
+            over = np.repeat(low == NEVER, size)
+            if over.any():
+                done_ids.append(ids[over])
+                done_place.append(place[over])
+                ids, place, rank, start = ids[~over], place[~over], rank[~over], start[~over]
+                size, low = size[low != NEVER], low[low != NEVER]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == np.repeat(low, size))
+            own = np.repeat(np.arange(len(size)), size)[at]
+            at = at[np.append(True, own[1:] != own[:-1])]
+            ids[at] = self.merged[low]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            rank[at] = NEVER
+            ids, place, rank, start = ids[keep], place[keep], rank[keep], start[keep]
+            at = at - np.arange(len(at))
+            ends = np.append(start[1:], True)
+            more = np.concatenate([at[~ends[at]], at[~start[at]] - 1])
+            rank[more] = self.ranked(ids[more], ids[more + 1])
+        if not done_ids:
+            return ids, place
+        ids, place = np.concatenate(done_ids), np.concatenate(done_place)
+        order = np.argsort(place, kind="stable")
+        return ids[order], place[order]
+
+    def encode_words(self, found: list[str]) -> list[list[int]]:
+        """The ids of each of many pre-tokens, none of them empty."""
+        rows = [w.encode("utf-8") for w in found]
+        data = np.frombuffer(b"".join(rows), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))
+        begin = ends - np.fromiter(map(len, rows), np.int64, len(rows))
+        start = self.cuts(data)
+        start[begin] = True
+        head = np.flatnonzero(start)
+        size = np.diff(np.append(head, len(data)))
+        alone = np.flatnonzero(size > SHARED_BYTES)
+        if len(alone):
+            long_ = np.repeat(size > SHARED_BYTES, size)
+            where = np.flatnonzero(~long_)
+            ids, place = self.merge_all(data[where], start[where])
+            place = where[place]
+            extra = [(h, self.merge(data[h : h + n].tobytes())) for h, n in zip(head[alone].tolist(), size[alone].tolist())]
+            # The ids of a long fragment take places from its first byte on: it has no more ids than bytes.
+            ids = np.concatenate([ids, *(np.array(x, np.int64) for _, x in extra)])
+            place = np.concatenate([place, *(np.arange(h, h + len(x)) for h, x in extra)])
+            order = np.argsort(place, kind="stable")
+            ids, place = ids[order], place[order]
+        else:
+            ids, place = self.merge_all(data, start)
+        bounds = np.searchsorted(place, np.append(begin, len(data))).tolist()
+        ids = ids.tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.pieces(text):
-            if isinstance(piece, int):
-                out.append(piece)
-            else:
-                for w in piece:
-                    out += self.cached(w)
-        return out
-
-    def cached(self, w: str) -> list[int]:
-        if (ids := self.known.get(w)) is None:
-            ids = self.word(w)
-            if len(w) <= CACHE_CHARS:
-                if len(self.known) >= CACHE_WORDS:
-                    self.known.clear()
-                self.known[w] = ids
-        return ids
+        return next(Encoder(self).encode([text]))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
+    def slices(self, text: str) -> Iterable[int | list[str]]:
+        """Special tokens as ids; what lies between them as lists of pieces.
 
-class Digests(dict):
-    """Of a pre-token: its ids as text, and the bytes that these ids decode to."""
+        A piece stands for itself with a space before it; if none is before it, its name starts with a space.
+        """
+        for part in self.parts.split(text) if self.parts is not None and any(s in text for s in self.special) else (text,):
+            if part in self.special:
+                yield self.special[part]
+                continue
+            at, first = 0, True
+            while at < len(part):
+                end = CUT.search(part, at + SLICE_CHARS) if len(part) - at > SLICE_CHARS else None
+                end = end.start() if end else len(part)
+                some = part[at:end] if first else part[at + 1 : end]
+                found = CUT.split(some) if ODD.search(some) else some.split(" ")
+                if first and found[0]:
+                    found[0] = " " + found[0]
+                yield found[first and not found[0] :]
+                at, first = end, False
+
+
+class Pieces:
+    """What is kept of each piece. makes: of each table, what it keeps of a pre-token's ids, and how that is joined to a piece's."""
+
+    def __init__(self, codec: Codec, *makes):
+        self.codec, self.makes = codec, makes
+        self.tables: list[dict[str, object]] = [{} for _ in makes]
+        self.passing: list[str] = []
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Encodes those that aren't known, all together."""
+        new = [p for p in set(pieces) if p not in self.tables[0]]
+        if not new:
+            return
+        # A plain word is one pre-token with its space; others are split where they stand side by side, as nothing is matched across.
+        plain = [p for p in new if p.isascii() and p.isalpha()]
+        first = [p for p in new if p[0] == " "]
+        other = [p for p in new if p[0] != " " and not (p.isascii() and p.isalpha())]
+        found = self.codec.words.findall(" " + " ".join(other)) if other else []
+        at = np.searchsorted(np.cumsum(np.fromiter(map(len, found), np.int64, len(found))), np.cumsum([1 + len(p) for p in other], dtype=np.int64)) + 1
+        spread = [found[a:b] for a, b in zip([0, *at.tolist()], at.tolist())]
+        for p in first:
+            spread.append(self.codec.words.findall(p[1:]))
+        words = [" " + p for p in plain]
+        distinct = list(dict.fromkeys(chain(words, chain.from_iterable(spread))))
+        ids = self.codec.encode_words(distinct)
+        for table, (make, join) in zip(self.tables, self.makes):
+            by_word = dict(zip(distinct, map(make, ids)))
+            table.update(zip(plain, map(by_word.__getitem__, words)))
+            table.update((p, join(map(by_word.__getitem__, own))) for p, own in zip(chain(other, first), spread))
+        self.passing += [p for p in new if len(p) > CACHE_CHARS]
+
+    def trim(self) -> None:
+        """Between groups of texts: long pieces go, and all of them if there are too many."""
+        full = len(self.tables[0]) > CACHE_PIECES
+        for table in self.tables:
+            if full:
+                table.clear()
+            for p in self.passing:
+                table.pop(p, None)
+        self.passing = []
+
+
+class Encoder:
+    """Encodes batches of texts, to ids or to digests."""
 
     def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec = codec
-
-    def __missing__(self, w: str) -> tuple[str, bytes]:
-        ids = self.codec.word(w)
-        found = (",".join(map(str, ids)), b"".join(map(self.codec.bytes_of.__getitem__, ids)))
-        if len(w) <= CACHE_CHARS:
-            self[w] = found
-        return found
-
-    def of(self, text: str) -> tuple[int, str, str]:
-        """Number of tokens, digest of the ids, digest of the decoded text."""
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        shown, data = [], []
-        for piece in self.codec.pieces(text):
-            if isinstance(piece, int):
-                shown.append(str(piece))
-                data.append(self.codec.bytes_of[piece])
-            elif piece:
-                ids, decoded = zip(*map(self.__getitem__, piece))
-                shown.append(",".join(ids))
-                data.append(b"".join(decoded))
-        line = ",".join(shown)
-        decoded = b"".join(data).decode("utf-8", "replace")
-        return (line.count(",") + 1 if line else 0, hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest())
+        self.codec, names, raw = codec, list(map(str, range(codec.base))), codec.bytes_of
+        self.ids = Pieces(codec, (tuple, lambda parts: tuple(chain.from_iterable(parts))))
+        self.shown = Pieces(codec, (lambda ids: ",".join([names[i] for i in ids]), ",".join), (lambda ids: b"".join([raw[i] for i in ids]), b"".join))
+
+    def _groups(self, cache: Pieces, texts: Iterable[str]):
+        """Each text's slices with all their pieces known; texts of about SLICE_CHARS are learned from together."""
+        group, size = [], 0
+        for text in texts:
+            if size + len(text) > SLICE_CHARS and group:
+                yield from self._learned(cache, group)
+                group, size = [], 0
+            if len(text) > SLICE_CHARS:
+                yield self._one_by_one(cache, text)
+                continue
+            group.append(list(self.codec.slices(text)))
+            size += len(text)
+        yield from self._learned(cache, group)
+
+    @staticmethod
+    def _learned(cache: Pieces, group: list):
+        cache.trim()
+        cache.learn(chain.from_iterable(s for slices in group for s in slices if not isinstance(s, int)))
+        yield from group
+
+    def _one_by_one(self, cache: Pieces, text: str):
+        for s in self.codec.slices(text):
+            if not isinstance(s, int):
+                cache.trim()
+                cache.learn(s)
+            yield s
+
+    def encode(self, texts: Iterable[str]):
+        """The ids of each text."""
+        for slices in self._groups(self.ids, texts):
+            out: list[int] = []
+            for s in slices:
+                if isinstance(s, int):
+                    out.append(s)
+                else:
+                    out += chain.from_iterable(map(self.ids.tables[0].__getitem__, s))
+            yield out
+
+    def digests(self, texts: Iterable[str]):
+        """(number of tokens, digest of the ids, digest of the decoded text) of each text."""
+        of_ids, of_bytes = self.shown.tables
+        for slices in self._groups(self.shown, texts):
+            n, ids, back = 0, hashlib.sha256(), Decoded()
+            for s in slices:
+                if isinstance(s, int):
+                    shown, data = str(s), self.codec.bytes_of[s]
+                else:
+                    shown, data = ",".join(map(of_ids.__getitem__, s)), b"".join(map(of_bytes.__getitem__, s))
+                ids.update(("," + shown if n else shown).encode())
+                back.add(data)
+                n += shown.count(",") + 1
+            yield n, ids.hexdigest(), back.hexdigest()
+
+
+class Decoded:
+    """The digest of bytes as the text they stand for; what isn't UTF-8 becomes the replacement character."""
+
+    def __init__(self):
+        self.decoder, self.sha = codecs.getincrementaldecoder("utf-8")("replace"), hashlib.sha256()
+
+    def add(self, data: bytes) -> None:
+        self.sha.update(self.decoder.decode(data).encode("utf-8"))
+
+    def hexdigest(self) -> str:
+        self.sha.update(self.decoder.decode(b"", True).encode("utf-8"))
+        return self.sha.hexdigest()
 
 
 @lru_cache(maxsize=2)
@@ -193,8 +351,9 @@ def codec(path: str) -> Codec:
 
 
 @lru_cache(maxsize=2)
-def digests(path: str) -> Digests:
-    return Digests(codec(path))
+def encoder(path: str) -> Encoder:
+    """One for all batches of a Python worker."""
+    return Encoder(codec(path))
 
 
 def encode(text: Column, path: str | None = None) -> Column:
@@ -203,8 +362,7 @@ def encode(text: Column, path: str | None = None) -> Column:
 
     @F.pandas_udf("array<int>")
     def run(texts: pd.Series) -> pd.Series:
-        c = codec(where)
-        return texts.map(lambda t: c.encode(t or ""))
+        return pd.Series([np.array(ids, np.int32) for ids in encoder(where).encode(t or "" for t in texts)], dtype=object)
 
     return run(text)
 
@@ -215,9 +373,10 @@ def encode_checked(text: Column, path: str | None = None) -> Column:
 
     @F.pandas_udf("ids array<int>, decoded_sha256 string")
     def run(texts: pd.Series) -> pd.DataFrame:
-        c = codec(where)
-        ids = [np.array(c.encode(t or ""), dtype=np.int32) for t in texts]
-        return pd.DataFrame({"ids": ids, "decoded_sha256": [hashlib.sha256(c.decode(i.tolist()).encode("utf-8")).hexdigest() for i in ids]})
+        rows, c = [], codec(where)
+        for ids in encoder(where).encode(t or "" for t in texts):
+            rows.append((np.array(ids, np.int32), hashlib.sha256(c.decode(ids).encode("utf-8")).hexdigest()))
+        return pd.DataFrame(rows, columns=["ids", "decoded_sha256"])
 
     return run(text)
 
@@ -237,15 +396,14 @@ def decode(ids: Column, path: str | None = None) -> Column:
 def digest(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
     """Adds n_tokens, ids_sha256 and decoded_sha256 of the whole text; a null text counts as empty.
 
-    One narrow pass: no shuffle, and a task holds one Arrow batch and the bounded word cache.
+    One narrow pass: no shuffle, and a task holds one Arrow batch and the bounded cache of pieces. Columns of docs
+    by the names of the three added ones are replaced.
     """
     arrow_batches(docs.sparkSession)
     where = path or default_path()
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def run(texts: pd.Series) -> pd.DataFrame:
-        d = digests(where)
-        return pd.DataFrame([d.of(t) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        return pd.DataFrame(list(encoder(where).digests(texts)), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    keep = [c for c in docs.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
-    return docs.select(*keep, run(text_or_empty(text)).alias("__bpe")).select(*keep, "__bpe.*")
+    return with_struct(docs, run(text_or_empty(text)), ["n_tokens", "ids_sha256", "decoded_sha256"])
