@@ -5,9 +5,12 @@ hashed into 2**HASH_BITS buckets, of which only those that learned anything are
 sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>) over the buckets present: the pair terms are what an additive
 model misses. Buckets whose presence doesn't depend on the label in the training sample get no weight, so
 the many other words of a long text add no noise. Null and empty texts score as texts without any known
-term. With no usable label of both classes the model is constant (the base rate).
+term. With no usable label of both classes, or empty tables, the model is constant (the base rate). Equal texts
+get equal scores, rows that repeat an id are scored each for itself, and labels that repeat an id all count. A text
+whose score is exactly THRESHOLD is predicted toxic. Other columns stay, but for those of the names that are added.
 """
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,9 +28,9 @@ TRAIN_ROWS = 6_000
 HASH_BITS, FACTORS = 30, 6
 #: Lengths of the word beginnings that are terms too.
 STEMS = (4, 5)
-#: Buckets that learn: the strongest by the z score of their label association, no weaker than Z_LEAST,
-#: seen in one of SEEN_SHARE texts at least (and in three).
-BUCKETS, Z_LEAST, SEEN_SHARE = 2048, 5.0, 1000
+#: Buckets that learn: those whose label association has a z score of Z_LEAST or more, seen in one of SEEN_SHARE texts
+#: at least (and in three).
+Z_LEAST, SEEN_SHARE = 5.0, 1000
 #: A toxic text weighs as much as so many others.
 POSITIVE_WEIGHT = 4.0
 EPOCHS, RATE, DECAY, SEED = 40, 0.2, 1e-4, 7
@@ -73,11 +76,11 @@ class Machine:
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
     """Adaptive gradient descent on the log loss. rows: the buckets of each text; labels: 0 or 1.
 
-    Texts with the same sixteen smallest buckets are copies of each other and count once, else the chance words
-    of a much copied text would look like signals. The bias stays at the base rate, so a text without any
+    Texts of the same set of buckets are copies of each other and count once, else the chance words of a much copied
+    text would look like signals. The bias stays at the base rate, so a text without any
     known term scores as the base rate and one strong term alone can pass the threshold.
     """
-    once = {(tuple(r[:16]), y): k for k, (r, y) in reversed(list(enumerate(zip(rows, labels))))}
+    once = {(hashlib.sha256(np.asarray(r, np.int64).tobytes()).digest(), y): k for k, (r, y) in reversed(list(enumerate(zip(rows, labels))))}
     rows, labels = [rows[k] for k in sorted(once.values())], labels[sorted(once.values())]
     n, positive = len(labels), float(labels.sum())
     rate = min(max(positive / n if n else 0.0, 1e-3), 1 - 1e-3)
@@ -90,8 +93,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
     hits = np.bincount(flat, weights=labels[at], minlength=len(found))
     z = (hits - seen * rate) / np.sqrt(np.maximum(seen * rate * (1 - rate), 1e-9))
     z[seen < max(3, n / SEEN_SHARE)] = 0
-    chosen = np.argsort(-np.abs(z), kind="stable")[:BUCKETS]
-    chosen = np.sort(chosen[np.abs(z[chosen]) >= Z_LEAST])
+    chosen = np.flatnonzero(np.abs(z) >= Z_LEAST)
     index = np.full(len(found), -1)
     index[chosen] = np.arange(len(chosen))
     keep = index[flat] >= 0
@@ -127,8 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Machin
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: sorted(terms(t)))
 
-    # The sample is bounded by `limit`, so it may be broadcast.
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "__y", run(text_or_empty()).alias("x")).toPandas().sort_values("doc_id", kind="stable")
+    # The sample is bounded by `limit`, so it may be broadcast; ids that repeat don't make it larger.
+    some = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "__y").limit(limit)
+    found = some.select("__y", run(text_or_empty()).alias("x")).toPandas()
     return fit([np.asarray(x, dtype=np.int32) for x in found["x"]], found["__y"].to_numpy(dtype=float))
 
 
@@ -152,8 +155,9 @@ def score(docs: DataFrame, model: Machine, text: str = "text") -> DataFrame:
         for texts in batches:
             yield pd.Series([model(sorted({k for found in filter(None, map(known.__getitem__, set(WORD.findall(t.lower())))) for k in found})) for t in texts], dtype="float64")
 
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
-    scored = docs.select(*keep, run(text_or_empty(text)).alias("score"))
+    value = run(text_or_empty(text)).alias("score")
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
+    scored = docs.select(*keep, value)
     return scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int"))
 
 
