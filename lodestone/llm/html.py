@@ -1,12 +1,15 @@
 """Main-text extraction by composite text density.
 
 A tolerant tokenizer builds a DOM; for every node the characters per tag, adjusted for the share of link
-text, give its density. The densities of a node's children are summed; the node of the largest sum is the
+text, give its density. The densities of a node's child blocks are summed; the node of the largest sum is the
 content, and the smallest density on its path to body is the threshold above which other parts of the
-page count as content too (of each such part again its subtree of the largest sum). Boilerplate (menus,
+page count as content too: of each such part again its subtree of the largest sum. Boilerplate (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) carries no density and no
-text, but a wrapper called so by form, class, id or role is no boilerplate if the page's content is in it. Null or empty html gives an empty text; unclosed tags, cut-off pages and bad references are read as
-far as they go.
+text, but a wrapper called so by form, class, id or role is no boilerplate if the page's content is in it.
+
+Null or empty html gives an empty text; unclosed tags, cut-off pages and bad references are read as far as they
+go. Among equal sums the first in page order is taken; a page without blocks is its body. Equal pages give equal
+texts, row by row; an empty table gives none. All steps are linear in the page.
 """
 
 from __future__ import annotations
@@ -36,11 +39,12 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "mark", "drop", "chars", "links", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "mark", "drop", "block", "chars", "links", "tags", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: "Node | None", mark: int):
         self.tag, self.parent, self.mark, self.children = tag, parent, mark, []
         self.drop = mark > 0 or parent is not None and parent.drop
+        self.block = tag in BLOCK
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -142,7 +146,11 @@ def spare(nodes: list[Node], body: Node) -> None:
     """Takes marks back that would drop the content: of nodes around a main; and of those around an article or most of the body's text outside links, unless an article or main is left beside them."""
     if not any(n.mark == CALLED for n in nodes):
         return
-    plain, inside = dict.fromkeys(nodes, 0), {n: set() for n in nodes}
+    plain, mains, articles = dict.fromkeys(nodes, 0), dict.fromkeys(nodes, False), dict.fromkeys(nodes, False)
+    within: dict[Node, bool] = {}
+    for node in nodes:  # parents first
+        up = node.parent
+        within[node] = up is not None and (within[up] or up.tag in ("article", "main"))
     for node in reversed(nodes):
         if node.mark == FIRM:
             continue
@@ -151,7 +159,8 @@ def spare(nodes: list[Node], body: Node) -> None:
                 plain[node] += len(SPACE.sub(" ", c).strip())
             elif c.mark != FIRM:
                 plain[node] += plain[c] if c.tag != "a" else 0
-                inside[node] |= inside[c] | ({c.tag} & {"article", "main"})
+                mains[node] |= mains[c] or c.tag == "main"
+                articles[node] |= articles[c] or c.tag == "article"
 
     def free(wrong) -> None:
         for node in nodes:
@@ -159,10 +168,9 @@ def spare(nodes: list[Node], body: Node) -> None:
                 node.mark = 0
             node.drop = node.mark > 0 or node.parent is not None and node.parent.drop
 
-    free(lambda n: "main" in inside[n])
+    free(lambda n: mains[n])
     left = any(n.tag in ("article", "main") and not n.drop for n in nodes)
-    within = lambda n: any(p.tag in ("article", "main") for p in ancestors(n))
-    free(lambda n: 2 * plain[n] > plain[body] and (not left or within(n)) or not left and "article" in inside[n])
+    free(lambda n: 2 * plain[n] > plain[body] and (not left or within[n]) or not left and articles[n])
 
 
 def measure(nodes: list[Node], body: Node) -> None:
@@ -189,8 +197,11 @@ def measure(nodes: list[Node], body: Node) -> None:
         base = math.log(node.chars / plain * node.links + whole_links / whole * node.chars + math.e)
         node.density = node.chars / tags * (math.log(node.chars / links * tags / link_tags + 1e-9) / math.log(base) if base > 1.0000001 and math.log(base) > 1e-6 else math.log(node.chars / links * tags / link_tags + math.e))
         node.density = max(node.density, 0.0)
-    for node in nodes:
-        node.total = sum(c.density for c in node.children if isinstance(c, Node))
+    # A paragraph's inline parts are no parts of the page: sums are over blocks, through what is inline around them.
+    for node in reversed(nodes):
+        for c in node.children:
+            if isinstance(c, Node) and not c.drop:
+                node.total += c.density if c.block else c.total
 
 
 def heaviest(top: Node) -> Node:
@@ -203,47 +214,34 @@ def heaviest(top: Node) -> Node:
 
 
 def select(root: Node) -> list[Node]:
-    """The content subtrees in page order."""
+    """The content subtrees in page order: the heaviest node, and of each part that passes the threshold its heaviest one."""
     nodes = ordered(root)
     body = next((x for x in nodes if x.tag == "body"), root)
     spare(nodes, body)
     measure(nodes, body)
     best = heaviest(body)
-    path, threshold = best, best.density
-    while path is not body and path.parent is not None:
-        if path.density:
-            threshold = min(threshold, path.density)
-        path = path.parent
-    threshold = min(threshold, body.density) if body.density else threshold
-    # The article that holds the heaviest node is taken whole, as are parts of its path that pass the threshold.
-    top = best
-    while top is not body and top.tag not in ("article", "main") and top.parent is not None and any(p.tag in ("article", "main") for p in ancestors(top)):
-        top = top.parent
-    if top.tag in ("article", "main"):
-        return [top]
     if best is body or not best.total:
         return [body]
+    path, threshold, node = {body}, min(best.density, body.density), best
+    while node is not body:
+        path.add(node)
+        if node.density:
+            threshold = min(threshold, node.density)
+        node = node.parent
     out, todo = [], [body]
     while todo:
         node = todo.pop()
-        if node.drop:
-            continue
-        if node is best or node is not body and node.density >= threshold and not holds(node, best):
+        if node is best:
             out.append(node)
+        elif node in path:
+            todo += [c for c in reversed(node.children) if isinstance(c, Node) and not c.drop]
+        elif node.block and node.density >= threshold:
+            out.append(heaviest(node))
         else:
-            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+            todo += [c for c in reversed(node.children) if isinstance(c, Node) and not c.drop]
     return out
 
 
-def ancestors(node: Node):
-    while (node := node.parent) is not None:
-        yield node
-
-
-def holds(node: Node, inner: Node) -> bool:
-    return any(p is node for p in ancestors(inner))
-
-
 def blocks(tops: list[Node]) -> list[str]:
     """The texts of the blocks in page order, references decoded, white space made one space."""
     out: list[str] = []
