@@ -1,16 +1,16 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-A text is read word by word: each lower-cased word, with a space byte on both sides, is a byte sequence
-that both directions run over from a zero state. Every byte position gets a probability for each language;
-a document's probability is the mean over all its positions. Words are scored once and kept (a bounded
-cache), which gives the same result as running over every occurrence. Sequences longer than SPAN bytes are
-read in spans of that length, so no part of a text is left out. The network is trained here, in numpy, by
-backpropagation through time. Texts that are null or hold no letter get `und` with score 0; if no row
-carries a language, so does every text.
+A text is its lower-cased UTF-8 bytes, words, spaces and signs alike. Both directions run over whole texts, in
+windows of BLOCK bytes that don't depend on each other: in each direction the network has read the MARGIN bytes
+beyond the window first, so every position sees what stands around it, across words and window edges. Every byte
+position gets a probability for each language; a document's probability is the mean over all its positions. The
+network is trained here, in numpy, by backpropagation through time, on whole texts of a bounded number of rows.
+
+Texts that are null or hold no letter get `und` with score 0; if no row carries a language, so does every text.
+Ties between languages go to the first by name; equal texts get equal results, so do rows that repeat an id; an
+empty table gives none; other columns stay, but for those of the names that are added.
 """
 
-import re
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,43 +19,43 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_batches, crc_mod, text_or_empty
-
-#: At most so many rows are learned from (those of the smallest hash of their id), so many words of each.
-TRAIN_ROWS, TRAIN_WORDS = 1600, 40
-HIDDEN, SPAN, EPOCHS, BATCH, RATE, SEED = 8, 48, 4, 256, 0.02, 11
-#: Word-sequences trained on in all epochs together, at least, so that small samples are seen more often.
-TRAIN_STEPS_WORDS = 120_000
-CACHE_WORDS, RUN_ROWS = 300_000, 2048
+from lodestone.llm.common import arrow_batches, crc_mod, text_or_empty, with_struct
+
+#: At most so many rows are learned from, those of the smallest hash of their id, with their whole texts.
+TRAIN_ROWS = 300
+#: Bytes of a window, those read before and after it, and of a window that is trained on.
+BLOCK, MARGIN, TRAIN_BLOCK = 464, 48, 64
+HIDDEN, BATCH, RATE, SEED = 8, 512, 0.02, 11
+#: Passes over the sample, and updates at least, so that small samples are seen more often.
+EPOCHS, UPDATES = 4, 120
+#: Windows that run side by side, and that are held at once.
+RUN_ROWS, HELD_ROWS = 1024, 8192
 UNKNOWN = "und"
 
-WORD = re.compile(r"[^\W\d_]+")
-
-
-def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
 
+def data_of(text: str) -> bytes:
+    return text.lower().encode("utf-8", "surrogatepass")
 
-def has_letter(text: str, found: list[str]) -> bool:
-    """found: its words. A word of digits such as superscripts alone holds no letter."""
-    return any(map(str.isalpha, found)) or any(map(str.isalpha, text))
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
-def sequences(word: str) -> list[bytes]:
-    data = b" " + word.encode("utf-8", "surrogatepass") + b" "
-    return [data[k : k + SPAN] for k in range(0, len(data), SPAN)]
 
+def windows(data: bytes, block: int = BLOCK) -> Iterator[tuple[bytes, int, int]]:
+    """(bytes, start, end) of each window with its margins, and where in them its own positions are."""
+    for at in range(0, len(data), block):
+        low = max(0, at - MARGIN)
+        yield data[low : at + block + MARGIN], at - low, min(at + block, len(data)) - low
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
 
-
-def pack(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes by row and position, and the lengths; positions after the end hold 0."""
-    n = np.fromiter(map(len, rows), np.int64, len(rows))
+def pack(rows: list[tuple[bytes, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes by position and row, the lengths, and which positions count. Rows are sorted by falling length; 0 fills up."""
+    n = np.fromiter((len(r[0]) for r in rows), np.int64, len(rows))
     out = np.zeros((len(rows), int(n.max())), np.uint8)
-    out[np.arange(out.shape[1]) < n[:, None]] = np.frombuffer(b"".join(rows), np.uint8)
-    return out, n
+    places = np.arange(out.shape[1])
+    out[places < n[:, None]] = np.frombuffer(b"".join(r[0] for r in rows), np.uint8)
+    start, end = (np.fromiter((r[k] for r in rows), np.int64, len(rows)) for k in (1, 2))
+    return np.ascontiguousarray(out.T), n, ((places[:, None] >= start) & (places[:, None] < end)).astype(np.float32)
 
 
 @dataclass
@@ -74,77 +74,87 @@ class Network:
         make = lambda *shape: rng.normal(0, 1, shape).astype(np.float32)
         return cls(languages, [make(256, 3 * n) * 0.3 for _ in "fb"], [make(n, 3 * n) / np.sqrt(n) for _ in "fb"], make(2 * n, len(languages)) / np.sqrt(2 * n), np.zeros(len(languages), np.float32))
 
-    def direction(self, d: int, data: np.ndarray, n: np.ndarray, kept: list | None = None) -> np.ndarray:
-        """The hidden states by position, of rows sorted by falling length. kept: gets what backpropagation needs."""
+    def direction(self, d: int, data: np.ndarray, n: np.ndarray, logits: np.ndarray, kept: list | None = None) -> None:
+        """Adds a direction's share of the logits, by position, row and language. kept: gets what backpropagation needs.
+
+        Arrays have a row for each unit and a column for each window, so that the gates are contiguous.
+        """
         size = HIDDEN
-        states = np.zeros((*data.shape, size), np.float32)
-        h = np.zeros((len(data), size), np.float32)
-        live = (np.arange(data.shape[1])[:, None] < n).sum(axis=1)  # rows that reach a position
-        for t in range(data.shape[1]) if d == 0 else range(data.shape[1] - 1, -1, -1):
+        x, wh, wo = np.ascontiguousarray(self.x[d].T), np.ascontiguousarray(self.h[d].T), self.out[d * size : (d + 1) * size]
+        h = np.zeros((size, data.shape[1]), np.float32)
+        live = (np.arange(data.shape[0])[:, None] < n).sum(axis=1)  # windows that reach a position
+        for t in range(data.shape[0]) if d == 0 else range(data.shape[0] - 1, -1, -1):
             m = live[t]
-            old = h[:m]
-            a, r = self.x[d][data[:m, t]], old @ self.h[d]
-            gates = sigmoid(a[:, : 2 * size] + r[:, : 2 * size])  # update, reset
-            z, g = gates[:, :size], gates[:, size:]
-            c = np.tanh(a[:, 2 * size :] + g * r[:, 2 * size :])
-            new = c + z * (old - c)
+            old = h[:, :m]
+            a, r = np.take(x, data[t, :m], axis=1), wh @ old
+            gates = a[: 2 * size]
+            gates += r[: 2 * size]
+            gates *= 0.5
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates *= 0.5
+            z, g = gates[:size], gates[size:]  # update, reset
+            c = g * r[2 * size :]
+            c += a[2 * size :]
+            np.tanh(c, out=c)
+            new = old - c
+            new *= z
+            new += c
             if kept is not None:
-                kept.append((t, m, old.copy(), z, g, c, r[:, 2 * size :]))
-            h[:m] = new
-            states[:m, t] = new
-        return states
-
-    def positions(self, data: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Probabilities by row, position and language."""
-        both = np.concatenate([self.direction(0, data, n), self.direction(1, data, n)], axis=2)
-        logits = both @ self.out + self.bias
+                kept.append((t, m, old.copy(), z, g, c, r[2 * size :], new.copy()))
+            h[:, :m] = new
+            logits[t, :m] += new.T @ wo
+
+    def probabilities(self, data: np.ndarray, n: np.ndarray, kept: tuple = (None, None)) -> np.ndarray:
+        """By position, row and language."""
+        logits = np.tile(self.bias, (*data.shape, 1))
+        for d in (0, 1):
+            self.direction(d, data, n, logits, kept[d])
         logits -= logits.max(axis=2, keepdims=True)
-        p = np.exp(logits)
-        return p / p.sum(axis=2, keepdims=True)
+        np.exp(logits, out=logits)
+        logits /= logits.sum(axis=2, keepdims=True)
+        return logits
 
-    def sums(self, rows: list[bytes]) -> np.ndarray:
-        """The probabilities of each sequence, summed over its positions."""
+    def sums(self, rows: list[tuple[bytes, int, int]]) -> np.ndarray:
+        """The probabilities of each window, summed over its own positions."""
         out = np.zeros((len(rows), len(self.languages)), np.float64)
-        order = np.argsort([-len(r) for r in rows], kind="stable")
-        for part in np.array_split(order, max(1, -(-len(order) // RUN_ROWS))):
-            data, n = pack([rows[k] for k in part])
-            out[part] = (self.positions(data, n) * (np.arange(data.shape[1]) < n[:, None])[:, :, None]).sum(axis=1)
+        order = np.argsort([-len(r[0]) for r in rows], kind="stable")
+        for k in range(0, len(order), RUN_ROWS):
+            part = order[k : k + RUN_ROWS]
+            data, n, counts = pack([rows[k] for k in part])
+            out[part] = (self.probabilities(data, n) * counts[:, :, None]).sum(axis=0)
         return out
 
-    def step(self, rows: list[bytes], labels: np.ndarray, moments: list, count: int) -> float:
-        """One update by backpropagation through time; every position carries the label of its row."""
+    def step(self, rows: list[tuple[bytes, int, int]], labels: np.ndarray, moments: list, count: int) -> float:
+        """One update by backpropagation through time; every position that counts carries the label of its row."""
         size = HIDDEN
-        order = np.argsort([-len(r) for r in rows], kind="stable")
-        data, n = pack([rows[k] for k in order])
+        order = np.argsort([-len(r[0]) for r in rows], kind="stable")
+        data, n, mask = pack([rows[k] for k in order])
         y = labels[order]
-        kept: list[list] = [[], []]
-        states = [self.direction(d, data, n, kept[d]) for d in (0, 1)]
-        both = np.concatenate(states, axis=2)
-        logits = both @ self.out + self.bias
-        logits -= logits.max(axis=2, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(axis=2, keepdims=True)
-        mask = (np.arange(data.shape[1]) < n[:, None]).astype(np.float32)
-        loss = -(np.log(np.take_along_axis(p, y[:, None, None], 2)[:, :, 0] + 1e-9) * mask).sum() / mask.sum()
+        kept: tuple[list, list] = ([], [])
+        p = self.probabilities(data, n, kept)
+        each = np.arange(data.shape[1])
+        loss = -(np.log(p[:, each, y] + 1e-9) * mask).sum() / mask.sum()
         delta = p
-        np.put_along_axis(delta, y[:, None, None].repeat(data.shape[1], 1), np.take_along_axis(p, y[:, None, None].repeat(data.shape[1], 1), 2) - 1, 2)
-        delta = delta * (mask / mask.sum())[:, :, None]
-        grads = [np.zeros_like(self.x[0]), np.zeros_like(self.x[1]), np.zeros_like(self.h[0]), np.zeros_like(self.h[1]), np.einsum("ntk,ntl->kl", both, delta), delta.sum(axis=(0, 1))]
-        back = delta @ self.out.T
+        delta[:, each, y] -= 1
+        delta *= (mask / mask.sum())[:, :, None]
+        grads = [np.zeros_like(v) for v in (*self.x, *self.h, self.out, self.bias)]
+        grads[5] += delta.sum(axis=(0, 1))
         for d in (0, 1):
-            dh = np.zeros((len(data), size), np.float32)
+            wo, wh, out = self.out[d * size : (d + 1) * size], self.h[d], grads[4][d * size : (d + 1) * size]
+            dh = np.zeros((size, data.shape[1]), np.float32)
             seen, deltas = [], []
-            for t, m, old, z, g, c, rc in reversed(kept[d]):
-                dn = dh[:m] + back[:m, t, d * size : (d + 1) * size]
+            for t, m, old, z, g, c, rc, new in reversed(kept[d]):
+                out += new @ delta[t, :m]
+                dn = dh[:, :m] + wo @ delta[t, :m].T
                 dc = dn * (1 - z) * (1 - c * c)
                 dz = dn * (old - c) * z * (1 - z)
                 dg = dc * rc * g * (1 - g)
-                da = np.concatenate([dz, dg, dc], axis=1)
-                dr = np.concatenate([dz, dg, dc * g], axis=1)
-                seen.append(data[:m, t])
-                deltas.append(da)
-                grads[2 + d] += old.T @ dr
-                dh[:m] = dn * z + dr @ self.h[d].T
+                dr = np.concatenate([dz, dg, dc * g])
+                seen.append(data[t, :m])
+                deltas.append(np.concatenate([dz, dg, dc]).T)
+                grads[2 + d] += old @ dr.T
+                dh[:, :m] = dn * z + wh @ dr
             at = np.concatenate(seen)
             by_byte = np.argsort(at, kind="stable")
             values, first = np.unique(at[by_byte], return_index=True)
@@ -157,77 +167,55 @@ class Network:
 
 
 def fit(texts: list[str], labels: list[str]) -> Network:
-    """Trains on the words of labelled texts, a bounded number of each, spread evenly over the text."""
+    """Trains on the whole labelled texts."""
     languages = sorted(set(labels))
     net = Network.fresh(languages)
     rows, y = [], []
     for text, label in zip(texts, labels):
-        found = list(dict.fromkeys(words(text)))
-        for w in found[:: max(1, len(found) // TRAIN_WORDS)]:
-            for s in sequences(w):
-                rows.append(s)
-                y.append(languages.index(label))
+        if has_letter(text):
+            own = list(windows(data_of(text), TRAIN_BLOCK))
+            rows += own
+            y += [languages.index(label)] * len(own)
     if len(languages) < 2 or not rows:
         return net
     y, rng = np.array(y), np.random.default_rng(SEED)
     moments = [(np.zeros_like(v), np.zeros_like(v)) for v in [*net.x, *net.h, net.out, net.bias]]
-    count = 0
-    epochs = max(EPOCHS, min(40, TRAIN_STEPS_WORDS // len(rows)))
-    for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // BATCH)):
+    count, each = 0, max(1, len(rows) // BATCH)
+    for _ in range(max(EPOCHS, -(-UPDATES // each))):
+        for batch in np.array_split(rng.permutation(len(rows)), each):
             count += 1
             net.step([rows[k] for k in batch], y[batch], moments, count)
     return net
 
 
-class Scorer:
-    """Pools whole documents; words already seen are looked up."""
-
-    def __init__(self, net: Network):
-        self.net, self.index = net, {}
-        self.table = np.zeros((1024, len(net.languages)), np.float64)
-        self.length = np.zeros(1024, np.int64)
-
-    def learn(self, new: list[str]) -> None:
-        if len(self.index) + len(new) > CACHE_WORDS:
-            self.index = {}
-        at = len(self.index)
-        while len(self.table) < at + len(new):
-            self.table, self.length = np.concatenate([self.table, np.zeros_like(self.table)]), np.concatenate([self.length, np.zeros_like(self.length)])
-        parts = [sequences(w) for w in new]
-        sums = self.net.sums([s for p in parts for s in p])
-        self.table[at : at + len(new)] = np.add.reduceat(sums, np.cumsum([0, *map(len, parts)][:-1]))
-        self.length[at : at + len(new)] = [sum(map(len, p)) for p in parts]
-        self.index |= {w: at + k for k, w in enumerate(new)}
-
-    def __call__(self, texts: list[str]) -> list[tuple[str, float]]:
-        out: list[tuple[str, float]] = []
-        start = 0
-        found = [words(t) for t in texts]
-        while start < len(texts):  # so many texts at once that their distinct words fit the cache
-            end, new = start, set()
-            while end < len(texts) and (end == start or len(new) < RUN_ROWS * 8):
-                new.update(w for w in found[end] if w not in self.index)
-                end += 1
-            if new:
-                ordered = sorted(new)
-                if len(self.index) + len(new) > CACHE_WORDS:
-                    ordered = sorted({w for k in range(start, end) for w in found[k]})
-                self.learn(ordered)
-            for k in range(start, end):
-                out.append(self.pooled(texts[k], found[k]))
-            start = end
-        return out
-
-    def pooled(self, text: str, found: list[str]) -> tuple[str, float]:
-        if not self.net.languages or not has_letter(text, found):
-            return UNKNOWN, 0.0
-        if not found:  # letters that aren't word characters
-            return self.net.languages[0], 1 / len(self.net.languages)
-        at = np.fromiter(map(self.index.__getitem__, found), np.int64, len(found))
-        p = self.table[at].sum(axis=0) / self.length[at].sum()
-        best = int(p.argmax())
-        return self.net.languages[best], float(min(1.0, p[best]))
+def pooled(net: Network, texts: list[str]) -> list[tuple[str, float]]:
+    """The language of each whole text, and its probability."""
+    total, length = np.zeros((len(texts), len(net.languages))), np.zeros(len(texts), np.int64)
+    lettered = [bool(net.languages) and has_letter(t) for t in texts]
+    rows: list[tuple[bytes, int, int]] = []
+    owner: list[int] = []
+
+    def run() -> None:
+        if rows:
+            np.add.at(total, owner, net.sums(rows))
+            rows.clear()
+            owner.clear()
+
+    for k, text in enumerate(texts):
+        if lettered[k]:
+            data = data_of(text)
+            length[k] = len(data)
+            for w in windows(data):
+                rows.append(w)
+                owner.append(k)
+                if len(rows) >= HELD_ROWS:
+                    run()
+    run()
+    out = []
+    for k, known in enumerate(lettered):
+        p = total[k] / max(1, length[k])
+        out.append((net.languages[int(p.argmax())], float(min(1.0, p.max()))) if known else (UNKNOWN, 0.0))
+    return out
 
 
 def held_out(column: str = "doc_id"):
@@ -236,44 +224,21 @@ def held_out(column: str = "doc_id"):
 
 
 def train(docs: DataFrame, limit: int = TRAIN_ROWS) -> Network:
-    """Learns from at most `limit` rows with a language. docs: doc_id, text, lang."""
+    """Learns from the whole texts of at most `limit` rows with a language. docs: doc_id, text, lang."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    picked = usable.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    some = usable.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # bounded by `limit`
-
-    @F.pandas_udf("string")
-    def sample(texts: pd.Series) -> pd.Series:
-        def spread(t: str) -> str:
-            found = list(dict.fromkeys(words(t)))
-            return " ".join(found[:: max(1, len(found) // TRAIN_WORDS)])
-
-        return texts.map(spread)
-
-    found = some.select("doc_id", "lang", sample("text").alias("text")).toPandas().sort_values("doc_id", kind="stable").drop_duplicates(["lang", "text"])
+    key = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
+    found = usable.select("doc_id", "lang", "text").orderBy(*key).limit(limit).toPandas()
+    found = found.drop_duplicates(["lang", "text"])
     return fit(list(found["text"]), list(found["lang"]))
 
 
-_SCORER: dict = {}
-
-
-def scorer_of(token: str, net: Network) -> Scorer:
-    """One scorer for all tasks of a query in a Python worker, so that later tasks find the words of earlier ones."""
-    if token not in _SCORER:
-        _SCORER.clear()
-        _SCORER[token] = Scorer(net)
-    return _SCORER[token]
-
-
 def identify(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     """Adds lang_pred and score; one narrow pass over whole texts."""
     arrow_batches(docs.sparkSession)
-    token = uuid.uuid4().hex
 
     @F.pandas_udf("lang_pred string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = scorer_of(token, net)
         for texts in batches:
-            yield pd.DataFrame(scorer(list(texts)), columns=["lang_pred", "score"])
+            yield pd.DataFrame(pooled(net, list(texts)), columns=["lang_pred", "score"])
 
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*keep, run(text_or_empty(text)).alias("__l")).select(*keep, "__l.*")
+    return with_struct(docs, run(text_or_empty(text)), ["lang_pred", "score"])
