@@ -6,18 +6,23 @@ earlier start) is removed, wherever it overlaps; repeats are judged on the input
 No machine holds a suffix array of the corpus, and most of it repeats nowhere. So texts are sampled at
 content-defined anchors (the smallest GRAM-byte hash of each SPAN-byte string; equal strings have equal
 anchors), anchors seen once are dropped, and what's left are short segments: an anchor with all SPAN-byte
-strings that belong to it. The distinct segments of an anchor are concatenated, a suffix array of them is
-built by linear grouping construction (`gsaca`), and neighbours in suffix order that agree on SPAN bytes are
-the repeats; of each class the occurrence of the smallest (id, start) stays.
+strings that belong to it. The distinct segments of an anchor are concatenated to pieces of bounded length, a
+suffix array of each is built by linear grouping construction (`gsaca`), and neighbours in suffix order that
+agree on SPAN bytes are the repeats; of each class the occurrence of the smallest (id, start) stays. Where an
+anchor has several pieces, their sorted distinct strings are merged, in shares of bounded size, and compared
+byte by byte: a repeat that spans pieces is found there.
+
+An anchor in more than `exchange.HOT` chunks doesn't gather in one task: its pieces are those of each chunk,
+and the strings that the chunk's suffix arrays leave are merged in the buckets of their own hashes.
 
-An anchor in more than `exchange.HOT` chunks, or with more than SEGMENTS distinct segments in its bucket, is
-taken apart into its single strings, which are dealt by their own hash, so no anchor gathers in one task.
 Texts equal to an earlier one are settled by a digest of the whole text. Null and empty texts have no bytes;
 texts shorter than SPAN lose none; rows that repeat an id and text get the same result; null ids count as one id
 after all others, and different texts of one id are rows of their own, in the order of their texts.
 """
 
 import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -34,10 +39,10 @@ SPAN, GRAM = 100, 40
 #: Hashes of which the smallest is an anchor: the GRAM-byte strings of a SPAN-byte string.
 CHOICE = SPAN - GRAM + 1
 CHUNK_BYTES = 4_000_000
-#: Distinct segments of one anchor that are concatenated at most.
-SEGMENTS = 12
-#: Symbols of one batch of suffix arrays.
-BATCH = 500_000
+#: Bytes of segments that are concatenated for one suffix array, about; symbols of a batch of them.
+PIECE, BATCH = 2_000, 500_000
+#: Strings that are merged at once, about.
+SHARE = 200_000
 
 _RNG = np.random.default_rng(17)
 BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -95,7 +100,12 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         wrong = wrong[rank[own[wrong]] != low[wrong]]
     first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
     last = np.append(first[1:], len(own)) - 1
-    return g[own[first]], own[first], starts[first], starts[last]
+    return spread(g[own[first]]), own[first], starts[first], starts[last]
+
+
+def spread(h: np.ndarray) -> np.ndarray:
+    """Chosen hashes are the smallest of many; this deals them evenly to buckets again."""
+    return mixed((h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD))
 
 
 def _sliding_most(low: np.ndarray, n: int) -> np.ndarray:
@@ -157,14 +167,7 @@ def _segments(width: int, n: int):
         seen: set[bytes] = set()
         again: list[tuple[int, int, int, int]] = []
         found: list[tuple[int, int, int, int, bytes]] = []
-
-        def take(h: int, doc: int, nth: int, start: int, piece: bytes) -> None:
-            if piece in seen:
-                again.append((doc, nth, start, start + len(piece)))
-            else:
-                seen.add(piece)
-                found.append((h, doc, nth, start, piece))
-
+        wide: dict[int, list[tuple[int, int, int, int, bytes]]] = {}
         for doc, nth, text in _rows(left, skip, _digest_of):
             raw = _bytes_of(text)
             if len(raw) < SPAN:
@@ -174,13 +177,24 @@ def _segments(width: int, n: int):
             k = np.searchsorted(live, short)
             k[k == len(live)] = 0
             at = np.flatnonzero(live[k] == short)
-            for x, a, b, wide in zip(h[at].tolist(), lo[at].tolist(), hi[at].tolist(), hot[k[at]].tolist()):
-                if wide:  # every string alone, dealt by its own hash
-                    for s in range(a, b + 1):
-                        piece = raw[s : s + SPAN]
-                        take(int.from_bytes(digest_of_bytes(piece), "little"), doc, nth, s, piece)
+            for x, a, b, spread_out in zip(h[at].tolist(), lo[at].tolist(), hi[at].tolist(), hot[k[at]].tolist()):
+                piece = raw[a : b + SPAN]
+                if piece in seen:
+                    again.append((doc, nth, a, a + len(piece)))
+                    continue
+                seen.add(piece)
+                if spread_out:
+                    wide.setdefault(x, []).append((doc, nth, a, key[0], piece))
                 else:
-                    take(x, doc, nth, a, raw[a : b + SPAN])
+                    found.append((x, doc, nth, a, piece))
+        for groups in batches(list(wide.values())):
+            kept, gone = settled(groups)
+            for _, some in runs_by_chunk(gone):
+                again += some
+            for group, at in zip(groups, kept):
+                for (doc, nth, pos, _), string in zip(group.where(at).tolist(), group.strings(at)):
+                    string = string.tobytes()
+                    found.append((int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little"), doc, nth, pos, string))
         rows = [(-1, key[0], packed_runs(again))] if again else []
         if found:
             found.sort(key=lambda x: x[0])
@@ -194,52 +208,154 @@ def _segments(width: int, n: int):
     return run
 
 
-def digest_of_bytes(piece: bytes) -> bytes:
-    return hashlib.blake2b(piece, digest_size=8).digest()
+def pieces_of(segments: list[bytes]) -> list[range]:
+    """The segments of an anchor in runs of about PIECE bytes."""
+    out, start, size = [], 0, 0
+    for k, x in enumerate(segments):
+        if size and size + len(x) > PIECE:
+            out.append(range(start, k))
+            start, size = k, 0
+        size += len(x) + 1
+    out.append(range(start, len(segments)))
+    return out
 
 
-def repeats(groups: list[list[bytes]]) -> list[list[tuple[int, int, int]]]:
-    """For groups of distinct segments: (segment, start, class) of every SPAN-byte string, classes being equal strings.
+def sorted_strings(strings: list[list[bytes]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each list of distinct segments: (segment, start, class) of every SPAN-byte string, in suffix order.
 
-    The segments of a group, with separators, are one string; its suffix array puts equal strings side by side.
+    The segments, with separators, are one string; its suffix array puts equal strings side by side: they're a class.
     """
-    out: list[list[tuple[int, int, int]]] = []
-    strings = []
-    for pieces in groups:
-        line = np.full(sum(map(len, pieces)) + len(pieces), 1, np.uint16)  # 1 separates; bytes are 2 and up
+    lines = []
+    for segments in strings:
+        line = np.full(sum(map(len, segments)) + len(segments), 1, np.uint16)  # 1 separates; bytes are 2 and up
         at = 0
-        for p in pieces:
+        for p in segments:
             line[at : at + len(p)] = np.frombuffer(p, np.uint8).astype(np.uint16) + 2
             at += len(p) + 1
-        strings.append(line)
-    for pieces, line, order in zip(groups, strings, suffix_arrays(strings)):
-        sizes = np.fromiter((len(p) + 1 for p in pieces), np.int64, len(pieces))
+        lines.append(line)
+    out = []
+    for segments, line, order in zip(strings, lines, suffix_arrays(lines)):
+        sizes = np.fromiter((len(p) + 1 for p in segments), np.int64, len(segments))
         ends = np.cumsum(sizes) - 1
-        piece = np.searchsorted(ends, order)
-        whole = order + SPAN <= ends[piece]
-        order, piece = order[whole], piece[whole]
+        segment = np.searchsorted(ends, order)
+        whole = order + SPAN <= ends[segment]
+        order, segment = order[whole], segment[whole]
         windows = np.lib.stride_tricks.sliding_window_view(line, SPAN)[order]
         fresh = np.append(True, (windows[1:] != windows[:-1]).any(axis=1))
-        starts = order - (ends[piece] + 1 - sizes[piece])
-        out.append(list(zip(piece.tolist(), starts.tolist(), np.cumsum(fresh).tolist())))
+        out.append((segment, order - (ends[segment] + 1 - sizes[segment]), np.cumsum(fresh)))
     return out
 
 
-def string_digests(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(segment, start, two 64-bit hashes) of every SPAN-byte string of segments."""
-    data = np.frombuffer(b"".join(pieces), np.uint8)
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    counts = sizes - SPAN + 1
-    owner = np.repeat(np.arange(len(pieces)), counts)
-    start = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = (np.cumsum(sizes) - sizes)[owner] + start
-    found = []
-    for step in (np.uint64(STEP), np.uint64(STEP ^ 0x5851F42D4C957F2C)):
-        h = np.zeros(len(data) - SPAN + 1, np.uint64)
-        for k in range(SPAN):
-            h = h * step + BYTE[data[k : k + len(h)]]
-        found.append(mixed(h)[at])
-    return owner, start, found
+def firsts(cls: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first of each class, the others), as indices; where has a row of (id, nth, start, chunk) for each string."""
+    order = np.lexsort((where[:, 2], where[:, 1], where[:, 0], cls))
+    fresh = np.append(True, cls[order][1:] != cls[order][:-1])
+    return order[fresh], order[~fresh]
+
+
+@dataclass
+class Group:
+    """The distinct segments of an anchor, each with its (id, nth, start, chunk)."""
+
+    segments: list[bytes]
+    homes: np.ndarray
+
+    def __post_init__(self):
+        self.data = np.frombuffer(b"".join(self.segments), np.uint8)
+        sizes = np.fromiter(map(len, self.segments), np.int64, len(self.segments))
+        self.begin = np.cumsum(sizes) - sizes
+
+    def where(self, at: np.ndarray) -> np.ndarray:
+        """The (id, nth, start, chunk) of strings at places of the joined segments."""
+        k = np.searchsorted(self.begin, at, side="right") - 1
+        out = self.homes[k]
+        out[:, 2] += at - self.begin[k]
+        return out
+
+    def strings(self, at: np.ndarray) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view(self.data, SPAN)[at]
+
+    def merged(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of first strings, rows of the others): the pieces' sorted strings meet, in shares dealt by content."""
+        shares = -(-len(at) // SHARE)
+        deal = span_hashes(self.data)[at] % np.uint64(shares) if shares > 1 else np.zeros(len(at), np.uint64)
+        stay, gone = [], []
+        for k in range(shares):
+            own = at[deal == k]
+            if not len(own):
+                continue
+            lines = np.ascontiguousarray(self.strings(own))
+            order = np.argsort(lines.view(f"S{SPAN}").ravel(), kind="stable")
+            lines, own = lines[order], own[order]
+            cls = np.cumsum(np.append(True, (lines[1:] != lines[:-1]).any(axis=1)))
+            where = self.where(own)
+            first, rest = firsts(cls, where)
+            stay.append(own[first])
+            gone.append(where[rest])
+        return np.concatenate(stay), np.concatenate(gone)
+
+
+def span_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of every SPAN-byte string, to deal them by."""
+    h, n = rolling(data), len(data) - SPAN + 1
+    out = np.zeros(n, np.uint64)
+    for k in range(0, SPAN - 31, 32):
+        out = out * power(32) + h[32][k : k + n]
+    return mixed(out * power(4) + h[4][SPAN - 4 : SPAN - 4 + n])
+
+
+def settled(groups: list[Group]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(kept, gone): for each group the places of the first occurrence of every distinct string; rows of (id, nth, start, chunk) of all others."""
+    runs, owner = [], []
+    for g, group in enumerate(groups):
+        for r in pieces_of(group.segments):
+            runs.append([group.segments[k] for k in r])
+            owner.append((g, r.start))
+    held: list[list[np.ndarray]] = [[] for _ in groups]
+    gone = [np.empty((0, 4), np.int64)]
+    for (g, start), (segment, offset, cls) in zip(owner, sorted_strings(runs)):
+        if len(segment):
+            at = groups[g].begin[segment + start] + offset
+            where = groups[g].where(at)
+            stay, go = firsts(cls, where)
+            gone.append(where[go])
+            held[g].append(at[stay])
+    kept = []
+    for group, parts in zip(groups, held):
+        at = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        if len(parts) > 1:
+            at, more = group.merged(at)
+            gone.append(more)
+        kept.append(at)
+    return kept, np.concatenate(gone)
+
+
+def runs_by_chunk(where: np.ndarray):
+    """(chunk, runs) of rows of (id, nth, start, chunk): strings of one text that overlap or touch are one run."""
+    where = where[np.lexsort((where[:, 2], where[:, 1], where[:, 0], where[:, 3]))]
+    if not len(where):
+        return
+    doc, nth, pos, chunk = where.T
+    fresh = np.append(True, (chunk[1:] != chunk[:-1]) | (doc[1:] != doc[:-1]) | (nth[1:] != nth[:-1]) | (pos[1:] > pos[:-1] + SPAN))
+    head = np.flatnonzero(fresh)
+    tail = np.append(head[1:], len(where)) - 1
+    runs = list(zip(doc[head].tolist(), nth[head].tolist(), pos[head].tolist(), (pos[tail] + SPAN).tolist()))
+    cut = np.flatnonzero(np.append(True, chunk[head][1:] != chunk[head][:-1])).tolist()
+    for a, b in zip(cut, [*cut[1:], len(head)]):
+        yield int(chunk[head[a]]), runs[a:b]
+
+
+def batches(anchored) -> Iterator[list[Group]]:
+    """Groups in batches of about BATCH bytes, those of like size together. anchored: lists of (id, nth, start, chunk, segment)."""
+    batch, size = [], 0
+    for own in sorted(anchored, key=lambda g: min(PIECE, sum(len(x[4]) for x in g))):
+        batch.append(Group([x[4] for x in own], np.array([x[:4] for x in own], np.int64)))
+        size += len(batch[-1].data)
+        if size >= BATCH:
+            yield batch
+            batch, size = [], 0
+    if batch:
+        yield batch
 
 
 def _later(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -258,58 +374,14 @@ def _later(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
                 now, old = min(now, old), max(now, old)
                 gone.setdefault(old[3], []).append((old[0], old[1], old[2], old[2] + size))
             first[piece] = now
-    by_anchor: dict[int, list[bytes]] = {}
-    for piece, (_, _, _, _, h) in first.items():
-        by_anchor.setdefault(h, []).append(piece)
-
-    def settle(classes: dict) -> None:
-        for members in classes.values():
-            if len(members) > 1:
-                for doc, nth, pos, chunk in sorted(members)[1:]:
-                    gone.setdefault(chunk, []).append((doc, nth, pos, pos + SPAN))
-
-    def take_apart(pieces: list[bytes]) -> None:
-        """All strings of many segments by 128-bit digest, in arrays; runs of removed strings join."""
-        owner, start, digests = string_digests(pieces)
-        doc, nth, pos, chunk = (np.array([first[p][k] for p in pieces], np.int64)[owner] for k in (0, 1, 2, 3))
-        pos = pos + start
-        order = np.lexsort((pos, nth, doc, digests[1], digests[0]))
-        again = np.append(False, (digests[0][order][1:] == digests[0][order][:-1]) & (digests[1][order][1:] == digests[1][order][:-1]))
-        at = order[again]
-        at = at[np.lexsort((pos[at], nth[at], doc[at], chunk[at]))]
-        if len(at):
-            cut = np.flatnonzero((doc[at][1:] != doc[at][:-1]) | (nth[at][1:] != nth[at][:-1]) | (pos[at][1:] > pos[at][:-1] + SPAN)) + 1
-            for a, b in zip(np.append(0, cut).tolist(), np.append(cut, len(at)).tolist()):
-                gone.setdefault(int(chunk[at[a]]), []).append((int(doc[at[a]]), int(nth[at[a]]), int(pos[at[a]]), int(pos[at[b - 1]]) + SPAN))
-
-    batch: list[list[bytes]] = []
-    size = 0
-
-    def work() -> None:
-        batch.sort(key=lambda g: sum(map(len, g)))
-        for pieces, found in zip(batch, repeats(batch)):
-            classes: dict[int, list] = {}
-            for p, start, c in found:
-                doc, nth, pos, chunk, _ = first[pieces[p]]
-                classes.setdefault(c, []).append((doc, nth, pos + start, chunk))
-            settle(classes)
-            for own in gone.values():  # so that runs, not strings, pile up
-                if len(own) > 50_000:
-                    own[:] = joined(own)
-
-    for pieces in by_anchor.values():
-        if len(pieces) == 1:  # strings of one anchor differ within a segment: nothing more can repeat
-            continue
-        if len(pieces) > SEGMENTS:
-            take_apart(pieces)
-            continue
-        batch.append(pieces)
-        size += sum(map(len, pieces))
-        if size >= BATCH:
-            work()
-            batch, size = [], 0
-    if batch:
-        work()
+    by_anchor: dict[int, list[tuple[int, int, int, int, bytes]]] = {}
+    for piece, (doc, nth, pos, chunk, h) in first.items():
+        by_anchor.setdefault(h, []).append((doc, nth, pos, chunk, piece))
+    del first
+    # Strings of one anchor differ within a segment: where it has one segment, nothing more can repeat.
+    for groups in batches([g for g in by_anchor.values() if len(g) > 1]):
+        for chunk, some in runs_by_chunk(settled(groups)[1]):
+            gone.setdefault(chunk, []).extend(some)
     return pd.DataFrame([(c, packed_runs(joined(r))) for c, r in gone.items()], columns=["chunk", "data"])
 
 
