@@ -9,7 +9,8 @@ their whole sequence, probed at every position of a text.
 
 The items are the small side: they're held in blocks of BLOCK_CHARS characters, each a broadcast of bounded
 size, and a benchmark of any size is worked off block by block; the hits of a text are merged afterwards. A
-null or wordless text has no words and no hits; a null or wordless item never occurs; equal items all count.
+null or wordless text has no words and no hits; a null or wordless item never occurs; equal items all count. Equal
+texts have equal hits, whatever their ids; other columns stay, but for those of the names that are added.
 """
 
 import hashlib
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_batches, text_or_empty
+from lodestone.llm.common import arrow_batches, free_name, text_or_empty
 from lodestone.llm.grams import WordHash, grams, hashes, winnow
 
 SPAN, GRAM = 10, 5
@@ -128,7 +129,7 @@ def _index(token: int, items: list[tuple[str, str]]) -> Index:
     return _INDEX[token]
 
 
-def _pass(docs: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
+def _pass(docs: DataFrame, items: list[tuple[str, str]], name: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
     token = hashlib.sha256(repr(items).encode("utf-8", "surrogatepass")).hexdigest()
 
@@ -139,7 +140,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
             rows = [index.find(t) for t in texts]
             yield pd.DataFrame([(n, a, b, sorted(i)) for n, a, b, i in rows], columns=["n_words", "starts", "ends", "items"])
 
-    return docs.withColumn("__hit", run(text_or_empty()))
+    return docs.withColumn(name, run(text_or_empty()))
 
 
 def _runs_length(starts, ends):
@@ -156,24 +157,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     equal texts have equal hits, whatever their ids.
     """
     arrow_batches(docs.sparkSession)
-    own = [c for c in docs.columns if c not in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "__hit")]
+    added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in added]
+    hit, key = free_name(docs, "hit"), free_name(docs, "key")
     docs = docs.select(*own)
-    parts = [_pass(docs, b) for b in blocks(benchmark)] or [_pass(docs, [])]
+    parts = [_pass(docs, b, hit) for b in blocks(benchmark)] or [_pass(docs, [], hit)]
     found = parts[0]
     if len(parts) > 1:
-        same = F.unhex(F.sha2(text_or_empty(), 256))
-        rest = parts[1].select(same.alias("__key"), "__hit")
+        same, names = F.unhex(F.sha2(text_or_empty(), 256)), ("starts", "ends", "items")
+        rest = parts[1].select(same.alias(key), hit)
         for p in parts[2:]:
-            rest = rest.unionByName(p.select(same.alias("__key"), "__hit"))
-        rest = rest.where(F.size("__hit.starts") > 0).groupBy("__key").agg(F.collect_set("__hit").alias("__all"))  # copies of a text count once
-        rest = rest.select("__key", *(F.flatten(F.col(f"__all.{c}")).alias(f"__{c}") for c in ("starts", "ends", "items")))
-        found = found.join(rest, same == F.col("__key"), "left").select(*own, F.struct("__hit.n_words", *(F.concat(f"__hit.{c}", F.coalesce(f"__{c}", F.expr("array()"))).alias(c) for c in ("starts", "ends", "items"))).alias("__hit"))
-    items = F.array_sort(F.array_distinct("__hit.items"))
+            rest = rest.unionByName(p.select(same.alias(key), hit))
+        rest = rest.where(F.size(f"{hit}.starts") > 0).groupBy(key).agg(F.collect_set(hit).alias("all"))  # copies of a text count once
+        more = free_name(docs, "more")
+        rest = rest.select(key, F.struct(*(F.flatten(F.col(f"all.{c}")).alias(c) for c in names)).alias(more))
+        both = F.struct(F.col(f"{hit}.n_words").alias("n_words"), *(F.concat(f"{hit}.{c}", F.coalesce(f"{more}.{c}", F.expr("array()"))).alias(c) for c in names))
+        found = found.join(rest, same == F.col(key), "left").select(*own, both.alias(hit))
+    items = F.array_sort(F.array_distinct(f"{hit}.items"))
     return found.select(
         *own,
-        F.col("__hit.n_words").alias("n_words"),
-        _runs_length(F.col("__hit.starts"), F.col("__hit.ends")).alias("n_hit"),
+        F.col(f"{hit}.n_words").alias("n_words"),
+        _runs_length(F.col(f"{hit}.starts"), F.col(f"{hit}.ends")).alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
-        (F.size("__hit.starts") > 0).alias("contaminated"),
+        (F.size(f"{hit}.starts") > 0).alias("contaminated"),
     )

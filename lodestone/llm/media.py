@@ -3,7 +3,8 @@
 One Aho-Corasick pass finds every magic byte string; a validator of each format then walks the structure
 and its lengths, so a chance hit of a few bytes isn't taken for a file. The type that validates at offset 0
 replaces the declared one; whatever validates further in is carved out. Null bytes are an empty value, and
-an empty or unknown value keeps no type (`unknown`). Formats without end marks end where their lengths say.
+an empty or unknown value keeps no type (`unknown`). Formats without end marks end where their lengths say. Equal
+values get equal results, row by row; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_batches, text_or_empty
+from lodestone.llm.common import arrow_batches, text_or_empty, with_struct
 
 #: Magic bytes by format.
 MAGIC = {
@@ -270,5 +271,4 @@ def digest(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([store(t) for t in texts], columns=COLUMNS)
 
-    keep = [c for c in docs.columns if c not in COLUMNS]
-    return docs.select(*keep, run(text_or_empty(text)).alias("__m")).select(*keep, "__m.*")
+    return with_struct(docs, run(text_or_empty(text)), COLUMNS)

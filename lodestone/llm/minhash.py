@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Staged, arrow_batches, text_or_empty
+from lodestone.llm.common import Staged, arrow_batches, free_name, text_or_empty
 from lodestone.llm.components import components
 from lodestone.llm.grams import WordHash, grams, hashes
 
@@ -84,12 +84,13 @@ def least_matches(n: int, threshold: float, miss: float = MISS) -> int:
     return n
 
 
-def numbered(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, int]:
-    """(docs with __vertex, the largest id): rows without an id get numbers above all ids, and are staged to keep them."""
+def numbered(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, str, int]:
+    """(docs with a vertex column, its name, the largest id): rows without an id get numbers above all ids, and are staged to keep them."""
+    vertex = free_name(docs, "vertex")
     top = docs.agg(F.max(F.col(key).cast("long"))).first()[0]
     top = -1 if top is None else top
-    nulls = Staged(docs.where(F.col(key).isNull()).withColumn("__vertex", F.lit(top + 1).cast("long") + F.monotonically_increasing_id()), "no-id").df
-    return docs.where(F.col(key).isNotNull()).withColumn("__vertex", F.col(key).cast("long")).unionByName(nulls), top
+    nulls = Staged(docs.where(F.col(key).isNull()).withColumn(vertex, F.lit(top + 1).cast("long") + F.monotonically_increasing_id()), "no-id").df
+    return docs.where(F.col(key).isNotNull()).withColumn(vertex, F.col(key).cast("long")).unionByName(nulls), vertex, top
 
 
 def sketch(docs: DataFrame, key: str, text: str, n_bands: int) -> DataFrame:
@@ -195,13 +196,17 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int =
     kept = bands(reps.df, n_bands).groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1")
     held = Staged(bands(reps.df, n_bands).join(kept, "band"), "bands")
 
-    looked, found = links(docs, key, text, reps.df, _ordered(held.df.select(F.col("low").alias("a"), F.col("rep").alias("b"))), num, n_bands)
-    stars = components(found.df.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    looked, near = links(docs, key, text, reps.df, _ordered(held.df.select(F.col("low").alias("a"), F.col("rep").alias("b"))), num, n_bands)
+    stars = components(near.df.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    near.drop()
     members = Staged(_unsettled(held.df.where("n > 2"), stars.df), "unsettled")
     held.drop()
     pairs = Staged(_same_differences(docs, key, text, members.df, num), "pairs")
-    _, more = links(docs, key, text, reps.df, pairs.df.join(looked.df, ["a", "b"], "left_anti"), num, n_bands)
-    stars = components(stars.df.unionByName(more.df.select(F.col("b").alias("u"), F.col("a").alias("v"))))
+    members.drop()
+    again, more = links(docs, key, text, reps.df, pairs.df.join(looked.df, ["a", "b"], "left_anti"), num, n_bands)
+    first, stars = stars, components(stars.df.unionByName(more.df.select(F.col("b").alias("u"), F.col("a").alias("v"))))
+    for done in (looked, pairs, again, more, first):
+        done.drop()
     by_class = reps.df.select("set_key", "rep").join(stars.df.select(F.col("u").alias("rep"), F.col("v").alias("top")), "rep", "left").select("set_key", F.coalesce("top", "rep").alias("component"))
     return sketched.df.select("id", "n_shingles", "set_key").join(by_class, "set_key", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
@@ -265,13 +270,13 @@ def stays(top: int):
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
-    rows, top = numbered(docs)
+    rows, vertex, top = numbered(docs)
     known = lambda c: F.when(F.col(c) <= top, F.col(c)).cast(docs.schema["doc_id"].dataType)
-    return classes(rows, "__vertex").select(known("id").alias("doc_id"), "n_shingles", known("component_id").alias("component_id"), stays(top).alias("kept"))
+    return classes(rows, vertex).select(known("id").alias("doc_id"), "n_shingles", known("component_id").alias("component_id"), stays(top).alias("kept"))
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay at STAGE_NUM/DEN, those without an id judged each for itself."""
-    rows, top = numbered(docs)
-    keep = classes(rows, "__vertex", num=STAGE_NUM, n_bands=STAGE_BANDS).where(stays(top)).select(F.col("id").alias("__vertex")).distinct()
-    return rows.join(keep, "__vertex", "left_semi").select(*docs.columns)
+    rows, vertex, top = numbered(docs)
+    keep = classes(rows, vertex, num=STAGE_NUM, n_bands=STAGE_BANDS).where(stays(top)).select(F.col("id").alias(vertex)).distinct()
+    return rows.join(keep, vertex, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
