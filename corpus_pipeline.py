@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontaminate, minhash, pii, toxicity
-from lodestone.llm.common import Staged, arrow_batches, table, text_or_empty
+from lodestone.llm.common import Staged, arrow_batches, free_name, table, text_or_empty
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +44,9 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the whole text; decoding them gives the text again, which `lossless` records."""
     arrow_batches(spark)
-    ids = docs.select("doc_id", "lang", "source", F.sha2(text_or_empty(), 256).alias("__sha"), bpe.encode_checked(text_or_empty()).alias("e"))
-    return ids.select("doc_id", "lang", "source", F.size("e.ids").cast("long").alias("n_tokens"), "e.ids", (F.col("e.decoded_sha256") == F.col("__sha")).alias("lossless"))
+    sha = free_name(docs, "sha")
+    done = docs.select("doc_id", "lang", "source", F.sha2(text_or_empty(), 256).alias(sha), bpe.encode_checked(text_or_empty()).alias("tokens"))
+    return done.select("doc_id", "lang", "source", F.size("tokens.ids").cast("long").alias("n_tokens"), "tokens.ids", (F.col("tokens.decoded_sha256") == F.col(sha)).alias("lossless"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
