@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from lodestone.llm import bpe, decontaminate, gsaca, html, language, media, minhash, pii, substring, suffix_dedup, toxicity
+from lodestone.llm import bpe, decontaminate, exchange, gsaca, html, language, media, minhash, pii, substring, suffix_dedup, toxicity
 
 random.seed(5)
 VOCAB = [f"w{i}" for i in range(400)]
@@ -66,31 +66,50 @@ def removed_bytes(rows):
                 c[k : k + 100] = b"\1" * 100
             else:
                 seen.add(b[k : k + 100])
-        out[i] = (len(b), sum(c), hashlib.sha256(bytes(x for x, y in zip(b, c) if not y)).hexdigest())
+        out[i] = (len(b), sum(c), hashlib.sha256(bytes(x for x, y in zip(b, c) if not y)).hexdigest(), len(re.findall(b"\1+", bytes(c))))
     return out
 
 
+def check_op1(found, rows):
+    assert {i: (r["n_bytes"], r["n_removed"], r["kept_sha256"], r["n_spans"]) for i, r in by_id(found).items()} == removed_bytes(rows)
+
+
 @pytest.mark.parametrize("chunk", [4_000_000, 3_000])
 def test_op1(docs, rows, empty, chunk, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk)
-    got = by_id(suffix_dedup.digest(docs))
-    assert {i: (r["n_bytes"], r["n_removed"], r["kept_sha256"]) for i, r in got.items()} == removed_bytes(rows)
+    check_op1(suffix_dedup.digest(docs), rows)
     assert suffix_dedup.digest(empty).count() == 0
 
 
-def test_op1_many_segments(monkeypatch):
-    """A group of more segments than are concatenated is taken apart, to the same result."""
+@pytest.mark.parametrize("hot", [0, 2])
+def test_op1_hot_anchors(docs, rows, hot, monkeypatch):
+    """Anchors whose pieces stay in their chunks, with merges by string: the same rows."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 3_000)
+    monkeypatch.setattr(exchange, "HOT", hot)
+    check_op1(suffix_dedup.digest(docs), rows)
+
+
+def test_op1_pieces_are_merged():
+    """Many segments of one anchor, in pieces and shares, leave each distinct string once, and its smallest place."""
+    import numpy as np
+
     base = bytes(random.randrange(97, 120) for _ in range(130))
-    pieces = sorted({base[:110] + bytes([random.randrange(97, 120) for _ in range(20)]) for _ in range(30)})
-    found = suffix_dedup.repeats([pieces])[0]
-    strings = {p[s : s + 100] for p in pieces for s in range(len(p) - 99)}
-    assert len({c for _, _, c in found}) == len(strings)
-    owner, start, (a, b) = suffix_dedup.string_digests(pieces)
-    assert len(owner) == sum(len(p) - 99 for p in pieces)
-    by_digest = {}
-    for o, s, x, y in zip(owner.tolist(), start.tolist(), a.tolist(), b.tolist()):
-        by_digest.setdefault((x, y), set()).add(pieces[o][s : s + 100])
-    assert len(by_digest) == len(strings) and all(len(v) == 1 for v in by_digest.values())
+    segments = sorted({base[:110] + bytes([random.randrange(97, 100) for _ in range(random.randrange(1, 20))]) for _ in range(60)})
+    homes = np.array([(random.randrange(9), 0, 1000 * k, k % 3) for k in range(len(segments))], np.int64)
+    best, total = {}, 0
+    for s, (d, n, p, c) in zip(segments, homes.tolist()):
+        for k in range(len(s) - 99):
+            total += 1
+            best[s[k : k + 100]] = min(best.get(s[k : k + 100], (99,)), (d, n, p + k, c))
+    for piece, share in ((100_000, 200_000), (400, 200_000), (400, 9)):
+        suffix_dedup.PIECE, suffix_dedup.SHARE, before = piece, share, (suffix_dedup.PIECE, suffix_dedup.SHARE)
+        try:
+            group = suffix_dedup.Group(segments, homes)
+            (at,), gone = suffix_dedup.settled([group])
+        finally:
+            suffix_dedup.PIECE, suffix_dedup.SHARE = before
+        assert {x.tobytes(): tuple(w) for x, w in zip(group.strings(at), group.where(at).tolist())} == best
+        assert len(at) == len(best) and len(gone) == total - len(best)
 
 
 def removed_words(rows):
@@ -304,10 +323,74 @@ def test_op10(spark):
     df = spark.createDataFrame([(0, make(a)), (1, make(b)), (2, None), (3, "123 !!"), (4, make(a) * 50)], "doc_id long, text string")
     got = by_id(language.identify(df, net))
     assert [got[i]["lang_pred"] for i in range(5)] == ["en", "de", "und", "und", "en"]
-    scorer = language.Scorer(net)
-    text = make(a) + " " + make(b)
-    whole = net.sums([s for w in language.words(text) for s in language.sequences(w)]).sum(axis=0)
-    assert scorer([text])[0][1] == pytest.approx(float((whole / whole.sum()).max()), abs=1e-5)
+    text = make(a) + " 12,3 " + make(b) + " Ü" * 300
+    assert language.pooled(net, ["", text])[1][1] == pytest.approx(plain_probabilities(net, text).max(), abs=1e-4)
+
+
+def plain_probabilities(net, text):
+    """The network written out: every window of a text, byte by byte, both ways, pooled over the window's own positions."""
+    import numpy as np
+
+    def states(data, d, size=language.HIDDEN):
+        out, h = [], np.zeros(size)
+        for byte in data if d == 0 else data[::-1]:
+            x, r = net.x[d][byte].astype(float), h @ net.h[d].astype(float)
+            z, g = (1 / (1 + np.exp(-(x + r)[k * size : (k + 1) * size])) for k in (0, 1))
+            c = np.tanh(x[2 * size :] + g * r[2 * size :])
+            h = (1 - z) * c + z * h
+            out.append(h)
+        return np.array(out if d == 0 else out[::-1])
+
+    data, found = text.lower().encode(), []
+    for at in range(0, len(data), language.BLOCK):
+        low = max(0, at - language.MARGIN)
+        window = data[low : at + language.BLOCK + language.MARGIN]
+        e = np.exp(np.hstack([states(window, 0), states(window, 1)]) @ net.out + net.bias)
+        found.append((e / e.sum(axis=1, keepdims=True))[at - low : at - low + language.BLOCK])
+    p = np.concatenate(found)
+    assert len(p) == len(data)
+    return p.mean(axis=0)
+
+
+def test_op10_gradients():
+    """Backpropagation against differences of the loss."""
+    import numpy as np
+
+    net = language.Network.fresh(["a", "b", "c"])
+    rows = [w for t in (b"some words here", b"andere", b"x") for w in language.windows(t, 6)]
+    y = np.arange(len(rows)) % 3
+
+    def loss(n):
+        order = sorted(range(len(rows)), key=lambda k: -len(rows[k][0]))
+        data, size, mask = language.pack([rows[k] for k in order])
+        p = n.probabilities(data, size)
+        return float(-(np.log(p[:, np.arange(data.shape[1]), y[order]]) * mask).sum() / mask.sum())
+
+    seen = [np.zeros_like(v) for v in (*net.x, *net.h, net.out, net.bias)]
+    moments = [(np.zeros_like(v), s) for v, s in zip((*net.x, *net.h, net.out, net.bias), seen)]
+    before = [v.copy() for v in (*net.x, *net.h, net.out, net.bias)]
+    net.step(rows, y, moments, 1)
+    for value, old in zip((*net.x, *net.h, net.out, net.bias), before):
+        value[...] = old
+    for (first, _), value in zip(moments, (*net.x, *net.h, net.out, net.bias)):
+        grad = first / 0.1
+        at = np.unravel_index(np.argmax(np.abs(grad)), grad.shape)
+        old, low, high = value[at], None, None
+        value[at] = old + 2e-2
+        high = loss(net)
+        value[at] = old - 2e-2
+        low = loss(net)
+        value[at] = old
+        assert grad[at] == pytest.approx((high - low) / 4e-2, rel=0.05, abs=2e-4)
+
+
+def test_op10_held_out(spark, data):
+    """Languages of rows that were never learned from."""
+    from lodestone.llm.queries import op10_language
+
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = [r for r in op10_language(spark, data).collect() if r["held_out"] and r["lang_pred"] != "und"]
+    assert sum(truth[r["doc_id"]] == r["lang_pred"] for r in got) >= 0.93 * len(got) > 0
 
 
 def test_null_ids_and_repeats(spark):
@@ -331,7 +414,7 @@ def test_texts_of_one_id(spark, chunk, monkeypatch):
             order = sorted({(2**63 - 1 if i is None else i, t) for i, t in rows})
             for module, brute, n in ((suffix_dedup, removed_bytes, "n_bytes"), (substring, removed_words, "n_words")):
                 due = brute(list(enumerate(t for _, t in order)))  # ids in the order of (id, text)
-                want = sorted(str((i, *due[order.index((2**63 - 1 if i is None else i, t))])) for i, t in rows)
+                want = sorted(str((i, *due[order.index((2**63 - 1 if i is None else i, t))][:3])) for i, t in rows)
                 assert sorted(str((r["doc_id"], r[n], r["n_removed"], r["kept_sha256"])) for r in module.digest(df).collect()) == want
 
 
