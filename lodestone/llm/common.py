@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Arrow batches handed to Python: rows and bytes, so that long texts don't pile up in a worker.
 BATCH_ROWS = 2000
@@ -57,6 +58,28 @@ class Staged:
         self._fs.delete(self._at, True)
 
 
+def whole_ids(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame | None]:
+    """(docs with whole numbers as ids, their names): ids of another type get numbers in their own order, and names (number, name) tell which.
+
+    Whole numbers stay what they are, and names is None. Null ids stay null.
+    """
+    if isinstance(docs.schema[key].dataType, T.IntegralType):
+        return docs, None
+    known = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("name")).distinct().orderBy("name")
+    names = Staged(known.select(F.monotonically_increasing_id().alias("number"), "name"), "ids").df
+    number = free_name(docs, "number")
+    rows = docs.join(names.withColumnRenamed("number", number), F.col(f"`{key}`") == F.col("name"), "left")
+    return rows.select(*(F.col(number).alias(c) if c == key else docs[c] for c in docs.columns)), names
+
+
+def named(found: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
+    """Numbers of whole_ids in the given columns as ids again."""
+    for c in columns if names is not None else ():
+        own = names.select(F.col("number").alias("__number"), F.col("name").alias("__name"))
+        found = found.join(own, F.col(c) == F.col("__number"), "left").select(*(F.col("__name").alias(x) if x == c else F.col(x) for x in found.columns))
+    return found
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

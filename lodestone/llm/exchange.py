@@ -31,6 +31,16 @@ def keyed_by_chunk(ids: DataFrame, n: int) -> DataFrame:
     return ids.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("chunk"), "id", "digest")
 
 
+def later_copies(basics: DataFrame) -> DataFrame:
+    """(id, digest) of every text that an earlier id has too, each once.
+
+    Pairs are made distinct before the join, so nothing above it needs its partitioning and Spark can split a digest
+    that very many rows share.
+    """
+    first = basics.groupBy("digest").agg(F.min("id").alias("first"))
+    return basics.select("id", "digest").distinct().join(first, "digest").where("id > first").select("id", "digest")
+
+
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     """The bucket of a hash, by its highest 32 bits: ascending hashes have ascending buckets."""
     return ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)

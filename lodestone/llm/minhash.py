@@ -18,7 +18,8 @@ op6, 38 for the 80/100 of the pipeline.
 
 Null, empty and wordless texts have no set and stay alone; texts of fewer words than SHINGLE are one shingle.
 Rows that repeat an id count as one vertex; every row without an id is a vertex of its own after all ids, and
-components of such rows alone have no id: all of them stay.
+components of such rows alone have no id: all of them stay. Ids that aren't whole numbers are taken in their own
+order. An empty table gives none; other columns stay where rows are kept, and aren't read.
 """
 
 import hashlib
@@ -31,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Staged, arrow_batches, free_name, text_or_empty
+from lodestone.llm.common import Staged, arrow_batches, free_name, named, text_or_empty, whole_ids
 from lodestone.llm.components import components
 from lodestone.llm.grams import WordHash, grams, hashes
 
@@ -270,13 +271,18 @@ def stays(top: int):
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
+    docs, names = whole_ids(docs)
     rows, vertex, top = numbered(docs)
     known = lambda c: F.when(F.col(c) <= top, F.col(c)).cast(docs.schema["doc_id"].dataType)
-    return classes(rows, vertex).select(known("id").alias("doc_id"), "n_shingles", known("component_id").alias("component_id"), stays(top).alias("kept"))
+    found = classes(rows, vertex).select(known("id").alias("doc_id"), "n_shingles", known("component_id").alias("component_id"), stays(top).alias("kept"))
+    return named(found, names, "doc_id", "component_id")
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay at STAGE_NUM/DEN, those without an id judged each for itself."""
-    rows, vertex, top = numbered(docs)
+    own = docs.columns
+    key = free_name(docs, "key")
+    docs, _ = whole_ids(docs.withColumn(key, F.col("doc_id")), key)
+    rows, vertex, top = numbered(docs, key)
     keep = classes(rows, vertex, num=STAGE_NUM, n_bands=STAGE_BANDS).where(stays(top)).select(F.col("id").alias(vertex)).distinct()
-    return rows.join(keep, vertex, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows.join(keep, vertex, "left_semi").select(*(F.col(f"`{c}`") for c in own))

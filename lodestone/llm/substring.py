@@ -9,7 +9,8 @@ smallest (id, position) stays; words covered by a window that also starts earlie
 Texts equal to an earlier one are settled by a digest of the whole text and don't take part. Exchanges are
 those of `exchange`: each chunk sends a distinct hash once. Null, empty and short texts keep all their words;
 rows that repeat an id and text get the same result; null ids count as one id after all others. Different
-texts of one id are rows of their own, in the order of their texts.
+texts of one id are rows of their own, in the order of their texts. Ids that aren't whole numbers are taken in
+their own order. An empty table gives none; other columns aren't read.
 """
 
 import hashlib
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import exchange as X
-from lodestone.llm.common import Staged, arrow_batches, text_or_empty
+from lodestone.llm.common import Staged, arrow_batches, named, text_or_empty, whole_ids
 from lodestone.llm.grams import ODD, WordHash, grams, hashes
 
 WINDOW, BLOCK = 20, 10
@@ -219,8 +220,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tu
     basics = Staged(_basics(docs, key, text), "basics").df
     total = basics.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     n, width = max(1, -(-total // CHUNK_WORDS)), X.hash_bytes(total)
-    first = basics.where(F.col("n_words") >= WINDOW).groupBy("digest").agg(F.min("id").alias("first"))
-    copies = Staged(basics.where(F.col("n_words") >= WINDOW).join(first, "digest").where("id > first").select("id", "digest").distinct(), "copies").df
+    copies = Staged(X.later_copies(basics.where(F.col("n_words") >= WINDOW)), "copies").df
     chunks = X.chunked(docs, key, text, n).groupBy("chunk")
     skip = X.keyed_by_chunk(copies, n).select("chunk", "id", "digest", F.lit(None).cast("binary").alias("data"))
     answers = lambda df: df.select("chunk", F.lit(0).cast("long").alias("id"), F.lit(None).cast("binary").alias("digest"), "data").unionByName(skip).groupBy("chunk")
@@ -239,13 +239,15 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tu
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
+    docs, names = whole_ids(docs)
     basics, copies, cut = deduplicated(docs)
     gone = copies.select("id", "digest", F.lit(True).alias("copy"))
     some = cut.select("id", "digest", "n_removed", F.sha2("kept", 256).alias("sha"))
     rest = basics.join(gone, ["id", "digest"], "left").join(some, ["id", "digest"], "left")
-    return rest.select(
+    found = rest.select(
         F.when(F.col("id") != X.NULL_ID, F.col("id")).alias("doc_id"),
         "n_words",
         F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(F.col("copy"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("sha", "kept_sha256")).alias("kept_sha256"),
     )
+    return named(found, names, "doc_id")

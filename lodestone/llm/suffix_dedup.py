@@ -17,7 +17,8 @@ and the strings that the chunk's suffix arrays leave are merged in the buckets o
 
 Texts equal to an earlier one are settled by a digest of the whole text. Null and empty texts have no bytes;
 texts shorter than SPAN lose none; rows that repeat an id and text get the same result; null ids count as one id
-after all others, and different texts of one id are rows of their own, in the order of their texts.
+after all others, and different texts of one id are rows of their own, in the order of their texts. Ids that aren't whole numbers are taken in
+their own order. An empty table gives none; other columns aren't read.
 """
 
 import hashlib
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import exchange as X
-from lodestone.llm.common import Staged, arrow_batches
+from lodestone.llm.common import Staged, arrow_batches, named, whole_ids
 from lodestone.llm.grams import mixed
 from lodestone.llm.gsaca import suffix_arrays
 from lodestone.llm.substring import RUN, _rows, _split, covered
@@ -425,8 +426,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tu
     basics = Staged(_basics(docs, key, text), "basics").df
     total = basics.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     n, width = max(1, -(-total // CHUNK_BYTES)), X.hash_bytes(max(1, total // 16))
-    long_ = basics.where(F.col("n_bytes") >= SPAN)
-    copies = Staged(long_.join(long_.groupBy("digest").agg(F.min("id").alias("first")), "digest").where("id > first").select("id", "digest").distinct(), "copies").df
+    copies = Staged(X.later_copies(basics.where(F.col("n_bytes") >= SPAN)), "copies").df
     chunks = X.chunked(docs, key, text, n).groupBy("chunk")
     skip = X.keyed_by_chunk(copies, n).select("chunk", "id", "digest", F.lit(None).cast("binary").alias("data"))
     answers = lambda df: df.select("chunk", F.lit(0).cast("long").alias("id"), F.lit(None).cast("binary").alias("digest"), "data").unionByName(skip).groupBy("chunk")
@@ -445,15 +445,17 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tu
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    docs, names = whole_ids(docs)
     basics, copies, cut = deduplicated(docs)
     gone = copies.select("id", "digest", F.lit(True).alias("copy"))
     some = cut.select("id", "digest", "n_removed", F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("sha"))
     rest = basics.join(gone, ["id", "digest"], "left").join(some, ["id", "digest"], "left")
     none = F.lit(0).cast("long")
-    return rest.select(
+    found = rest.select(
         F.when(F.col("id") != X.NULL_ID, F.col("id")).alias("doc_id"),
         "n_bytes",
         F.when(F.col("copy"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", none)).alias("n_removed"),
         F.when(F.col("copy"), F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", none)).alias("n_spans"),
         F.when(F.col("copy"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("sha", "kept_sha256")).alias("kept_sha256"),
     )
+    return named(found, names, "doc_id")
