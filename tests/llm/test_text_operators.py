@@ -450,3 +450,21 @@ def test_pipeline(spark, data):
 
     got = corpus_pipeline.run(spark, data)
     assert got.where("not lossless").count() == 0 and 0 < got.count() < 200
+
+
+def test_ids_of_text(spark, rows):
+    """Ids that are no numbers, in their own order; nulls after all."""
+    some = [(f"doc-{i:03}", t) for i, t in rows[:40]]
+    base = prose(80)
+    some += [("doc-900", base), ("zz", base), (None, base), ("Ä", "x " + base)]
+    df = spark.createDataFrame(some, "doc_id string, text string").repartition(2)
+    order = sorted((i for i, _ in some if i is not None), key=lambda i: i.encode())
+    number = {i: k for k, i in enumerate(order)}
+    for module, brute, n in ((suffix_dedup, removed_bytes, "n_bytes"), (substring, removed_words, "n_words")):
+        due = brute([(number.get(i, 10**6), t) for i, t in some])
+        got = {r["doc_id"]: r for r in module.digest(df).collect()}
+        assert {i: (r[n], r["n_removed"], r["kept_sha256"]) for i, r in got.items()} == {i: due[number.get(i, 10**6)][:3] for i, _ in some}
+    due = brute_components([(number[i], t) for i, t in some if i is not None])
+    got = {r["doc_id"]: r for r in minhash.digest(df).collect()}
+    assert {i: r["component_id"] for i, r in got.items() if i is not None} == {i: order[due[number[i]][1]] for i in order}
+    assert got[None]["component_id"] == "doc-900" and not got[None]["kept"]
