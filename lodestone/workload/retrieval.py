@@ -177,7 +177,7 @@ RERANK = rf"""{BASE}, h AS (SELECT qid, chunk_id, score FROM rk WHERE rank <= 20
  ov AS (SELECT cv.*, n.best, CASE WHEN total > 0 THEN coalesce(got, 0) / total ELSE len(c) / greatest(nq, 1) END AS term FROM cv JOIN n USING (qid) LEFT JOIN tw USING (qid) LEFT JOIN g USING (qid, chunk_id)),
  fz AS (SELECT qid, chunk_id, round(0.5 * score / best + 0.5 * CASE WHEN nb > 0 THEN 0.75 * term + 0.25 * hb / nb ELSE term END, 6) AS score FROM ov)
  SELECT * FROM ({RANKED}) WHERE rank <= {K}"""
-DENSE = "WITH s AS (SELECT q.vec_id AS qid, v.vec_id AS chunk_id, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 10 AND {}), fz AS (SELECT * FROM s) SELECT * FROM (" + RANKED + f") WHERE rank <= {K}"
+DENSE = "WITH s AS (SELECT q.vec_id AS qid, v.vec_id AS chunk_id, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND {}), fz AS (SELECT * FROM s) SELECT * FROM (" + RANKED + f") WHERE rank <= {K}"
 DOCS = "FROM documents WHERE"
 
 QUERIES = {
@@ -189,8 +189,8 @@ QUERIES = {
     "dense_topk": (dense_topk, DENSE.format("true")),
     "dense_topk_filtered": (dense_filtered, DENSE.format("v.label < 5")),
     "l2_normalize": (l2_normalize, "SELECT vec_id AS chunk_id, CASE WHEN vec_id % 7 = 0 THEN 0.0 ELSE 1.0 END AS norm, round(CASE WHEN vec_id % 7 = 0 THEN 0.0 ELSE embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) END, 6) AS first FROM embeddings"),
-    "hashing_embedder": (hashed_embedding, rf"""WITH w AS (SELECT item_id, unnest({WORDS.format('substr(text, 1, 60)')}) AS w FROM benchmark), e AS (SELECT item_id, '^' || w || '$' AS e, w FROM w),
- g AS (SELECT item_id, 'w:' || w AS g FROM e UNION ALL SELECT item_id, substr(e, i, n) FROM e, (VALUES (3), (4), (5)) s(n), range(1, 200) r(i) WHERE i + n - 1 <= length(e)), m AS (SELECT item_id, md5(g) AS d FROM g)
+    "hashing_embedder": (hashed_embedding, rf"""WITH w AS (SELECT item_id, unnest({WORDS.format('text')}) AS w FROM benchmark), e AS (SELECT item_id, '^' || w || '$' AS e, w FROM w),
+ g AS (SELECT item_id, 'w:' || w AS g FROM e UNION ALL SELECT item_id, substr(e, i, n) FROM (SELECT item_id, e, n, unnest(range(1, length(e) - n + 2)) AS i FROM e, (VALUES (3), (4), (5)) s(n))), m AS (SELECT item_id, md5(g) AS d FROM g)
  SELECT item_id AS chunk_id, (('0x' || substr(d, 1, 8))::BIGINT % {I.DIM})::INT AS bucket, sum(CASE WHEN substr(d, 9, 1) >= '8' THEN -1 ELSE 1 END)::DOUBLE AS weight FROM m GROUP BY ALL HAVING sum(CASE WHEN substr(d, 9, 1) >= '8' THEN -1 ELSE 1 END) <> 0"""),
     "index_upsert": (upsert, f"SELECT doc_id AS chunk_id, sha256(text) AS content_hash {DOCS} doc_id % 2 = 0 AND doc_id % 3 <> 0 UNION ALL SELECT doc_id, sha256(text || '!') {DOCS} doc_id % 3 = 0 AND doc_id % 15 <> 0 UNION ALL SELECT doc_id, sha256(text || '?') {DOCS} doc_id % 15 = 0"),
     "index_delete_by_source": (delete_by_source, "SELECT source AS source_id, count(*) AS n, (SELECT count(*) FROM documents WHERE source = 'src3') AS deleted FROM documents WHERE source <> 'src3' GROUP BY source"),
