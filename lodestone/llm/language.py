@@ -226,8 +226,10 @@ def held_out(column: str = "doc_id"):
 def train(docs: DataFrame, limit: int = TRAIN_ROWS) -> Network:
     """Learns from the whole texts of at most `limit` rows with a language. docs: doc_id, text, lang."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    key = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
-    found = usable.select("doc_id", "lang", "text").orderBy(*key).limit(limit).toPandas()
+    picked = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).distinct()
+    # Texts of the picked ids alone reach the sort: at most `limit` of them, which may be broadcast, leave it.
+    some = usable.select("doc_id", "lang", "text").join(F.broadcast(picked), "doc_id")
+    found = some.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(limit).toPandas()
     found = found.drop_duplicates(["lang", "text"])
     return fit(list(found["text"]), list(found["lang"]))
 

@@ -130,8 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Machin
         return texts.map(lambda t: sorted(terms(t)))
 
     # The sample is bounded by `limit`, so it may be broadcast; ids that repeat don't make it larger.
-    some = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "__y").limit(limit)
-    found = some.select("__y", run(text_or_empty()).alias("x")).toPandas()
+    some = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "__y", F.xxhash64("text").alias("h"), run(text_or_empty()).alias("x"))
+    found = some.orderBy(F.xxhash64("doc_id"), "doc_id", "h", "__y").limit(limit).select("__y", "x").toPandas()
     return fit([np.asarray(x, dtype=np.int32) for x in found["x"]], found["__y"].to_numpy(dtype=float))
 
 
