@@ -15,6 +15,7 @@ from lodestone.operators import chunks as C
 from lodestone.operators import index as I
 from lodestone.operators import profile as P
 from lodestone.operators import retrieve as R
+from lodestone.operators import store
 from lodestone.plans import planner
 from lodestone.plans.guard import QueryResult, execute_readonly
 from lodestone.plans.lexicon import ISO, Lexicon
@@ -93,27 +94,39 @@ class Engine:
             out = out.unionByName(p)
         return out
 
+    def tables_of(self, chunks: DataFrame) -> dict[str, DataFrame]:
+        """What an index holds of chunks."""
+        return {"chunks": chunks, "postings": I.postings(chunks), "stats": I.doc_stats(chunks), "vectors": self.embed(chunks)}
+
     def ingest(self, tables: list[str], config: C.ChunkConfig = C.ChunkConfig(), path: str | None = None) -> dict[str, int]:
-        """Indexes what is new or changed and drops what is gone; returns counts by action. Equal content isn't embedded again."""
+        """Indexes what is new or changed of these tables and drops what is gone; returns counts by action.
+
+        Equal content isn't embedded again, and other tables stay as they are. With a path, what is there already is the
+        index that is added to, whatever this engine holds; only new rows and the ids of replaced ones are written.
+        """
+        if path and store.manifest(self.spark, path):
+            self.open(path)
+        elif path:
+            self.index = {}
         new = self.chunk(tables, config).persist()
-        empty = self.spark.createDataFrame([], new.schema)
-        stored = self.index.get("chunks", empty)
+        stored = self.index["chunks"].where(F.col("table").isin(*tables) & (F.col("source_id") == self.catalog.source_id)) if self.index else self.spark.createDataFrame([], new.schema)
         moves = I.diff(stored, new).persist()
         counts = {r["action"]: r["count"] for r in moves.groupBy("action").count().collect()}
-        fresh = new.join(moves.where(F.col("action").isin("insert", "update")).select("chunk_id"), "chunk_id", "left_semi")
-        gone = moves.where(F.col("action") != "skip").select("chunk_id")
-        keep = lambda name, made: made if name not in self.index else self.index[name].join(gone, "chunk_id", "left_anti").unionByName(made)
-        tables_ = {"chunks": new, "postings": keep("postings", I.postings(fresh)), "stats": keep("stats", I.doc_stats(fresh)), "vectors": keep("vectors", self.embed(fresh))}
-        if path:
-            version = 1 + (I.load(self.spark, path)[0] if self.index else 0)
-            I.persist(tables_, path, version)
-            self.index = I.load(self.spark, path)[1]
-        else:
-            self.index = {k: v.persist() for k, v in tables_.items()}
+        if set(counts) - {"skip"} or not self.index:
+            fresh = new.join(moves.where(F.col("action").isin("insert", "update")).select("chunk_id"), "chunk_id", "left_semi").persist()
+            gone = moves.where(F.col("action").isin("update", "delete")).select("chunk_id")
+            added = self.tables_of(fresh)
+            if path:
+                store.commit(self.spark, path, added, gone)
+                self.open(path)
+            else:
+                keep = lambda name: self.index[name].join(gone, "chunk_id", "left_anti").unionByName(added[name]) if self.index else added[name]
+                self.index = {name: keep(name).persist() for name in added}
         return {a: counts.get(a, 0) for a in ("insert", "update", "skip", "delete")}
 
     def open(self, path: str) -> None:
-        _, self.index = I.load(self.spark, path)
+        """The newest version of the index at a path."""
+        _, self.index = store.load(self.spark, path)
 
     # Retrieval and answers
 

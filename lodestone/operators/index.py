@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from lodestone.errors import ConfigError, IndexError_
 from lodestone.functions import text as X
+from lodestone.operators.store import commit, load  # noqa: F401  the index as a whole
 
 K1, B = 1.5, 0.75
 DIM = 384
-#: Questions whose vectors one pass holds.
-QUERY_BLOCK = 1024
+#: Questions of one matrix product, and of one broadcast: 16,384 vectors of 384 numbers are 50 MB.
+QUERY_BLOCK, BROADCAST_QUESTIONS = 1024, 16_384
 
 
 def top(df: DataFrame, k: int, by: str = "score", part: str = "qid", tie: str = "chunk_id") -> DataFrame:
@@ -107,40 +108,40 @@ def normalized(vector: Column) -> Column:
 def knn(questions: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """(qid, chunk_id, score, rank): exact nearest neighbours by dot product.
 
-    questions (qid, vector) are worked off in blocks of QUERY_BLOCK, each broadcast; vectors stay where they are. A
-    partition multiplies matrices batch by batch and sends on only its k best for each question.
+    A partition of vectors multiplies them with all questions, batch by batch, keeps a running best of k for each
+    question, and sends on only these. Questions are a stated set: they're read in blocks of QUERY_BLOCK from a
+    broadcast if there are at most BROADCAST_QUESTIONS, else block by block as a scan of the vectors each.
     """
-    out = None
-    for block in _blocks(questions):
-        part = _knn_block(block, vectors, k)
-        out = part if out is None else out.unionByName(part)
-    if out is None or k <= 0:
-        return questions.sparkSession.createDataFrame([], f"qid {questions.schema['qid'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double, rank int")
-    return out
+    key = vectors.schema["chunk_id"].dataType.simpleString()
+    empty = questions.sparkSession.createDataFrame([], f"qid {questions.schema['qid'].dataType.simpleString()}, chunk_id {key}, score double, rank int")
+    if k <= 0:
+        return empty
+    parts = [_knn_block(block, questions, vectors, k, key) for block in _blocks(questions)]
+    return reduce(DataFrame.unionByName, parts) if parts else empty
 
 
 def _blocks(questions: DataFrame) -> Iterator[list]:
     block: list = []
     for row in questions.select("qid", "vector").toLocalIterator():
-        block.append((row[0], list(row[1])))
-        if len(block) == QUERY_BLOCK:
+        block.append((row[0], np.asarray(row[1], np.float64)))
+        if len(block) == BROADCAST_QUESTIONS:
             yield block
             block = []
     if block:
         yield block
 
 
-def _knn_block(block: list, vectors: DataFrame, k: int) -> DataFrame:
-    qids = [q for q, _ in block]
+def _knn_block(block: list, questions: DataFrame, vectors: DataFrame, k: int, key: str) -> DataFrame:
     dims = {len(v) for _, v in block}
     if len(dims) != 1:
         raise IndexError_("vectors of different lengths")
     dim = dims.pop()
-    shared = vectors.sparkSession.sparkContext.broadcast(np.array([v for _, v in block], dtype=np.float64))
-    spark, key = vectors.sparkSession, vectors.schema["chunk_id"].dataType.simpleString()
+    spark = vectors.sparkSession
+    shared = spark.sparkContext.broadcast(np.stack([v for _, v in block]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = shared.value
+        best: list = [None] * len(q)
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -148,28 +149,42 @@ def _knn_block(block: list, vectors: DataFrame, k: int) -> DataFrame:
             if m.shape[1] != dim:
                 raise ValueError(f"vectors have {m.shape[1]} dimensions, questions {dim}")
             ids = pdf["chunk_id"].to_numpy()
-            scores = np.round(m @ q.T, 6)
-            best = [np.lexsort((ids, -scores[:, j]))[:k] for j in range(len(q))]
-            at = np.concatenate(best)
-            yield pd.DataFrame({"n": np.repeat(np.arange(len(q)), [len(b) for b in best]).astype(np.int32), "chunk_id": ids[at], "score": np.concatenate([scores[b, j] for j, b in enumerate(best)])})
+            for start in range(0, len(q), QUERY_BLOCK):
+                scores = np.round(m @ q[start : start + QUERY_BLOCK].T, 6)
+                for j in range(scores.shape[1]):
+                    own = scores[:, j]
+                    some = np.flatnonzero(own >= np.partition(own, len(own) - k)[len(own) - k]) if len(own) > k else np.arange(len(own))
+                    have = best[start + j]
+                    values, names = (own[some], ids[some]) if have is None else (np.concatenate([have[0], own[some]]), np.concatenate([have[1], ids[some]]))
+                    at = np.lexsort((names, -values))[:k]
+                    best[start + j] = (values[at], names[at])
+        held = [(j, b) for j, b in enumerate(best) if b is not None]
+        if held:
+            yield pd.DataFrame({"n": np.repeat([j for j, _ in held], [len(b[0]) for _, b in held]).astype(np.int32), "chunk_id": np.concatenate([b[1] for _, b in held]), "score": np.concatenate([b[0] for _, b in held])})
 
     found = vectors.select("chunk_id", "vector").mapInPandas(run, f"n int, chunk_id {key}, score double")
-    best = top(found, k, part="n")
-    names = spark.createDataFrame(list(enumerate(qids)), ["n", "qid"])
-    return best.join(F.broadcast(names), "n").select("qid", "chunk_id", "score", "rank")  # at most QUERY_BLOCK rows
+    names = spark.createDataFrame([(n, qid) for n, (qid, _) in enumerate(block)], f"n int, qid {questions.schema['qid'].dataType.simpleString()}")
+    return top(found, k, part="n").join(F.broadcast(names), "n").select("qid", "chunk_id", "score", "rank")  # at most BROADCAST_QUESTIONS rows
 
 
 # Maintenance: tables are immutable, so every change is a new version
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: str = "chunk_id", order: str | None = None) -> DataFrame:
-    """New rows replace stored ones of the same key; of repeated new keys the last by `order` counts."""
+    """New rows replace stored ones of the same key; of repeated new keys the last by `order` counts, else the greatest by content."""
+    new = distinct_keys(new, key, order)
     if order is not None:
-        last = W.partitionBy(key).orderBy(F.col(order).desc())
-        new = new.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", order)
+        new = new.drop(order)
     return stored.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+def distinct_keys(rows: DataFrame, key: str = "chunk_id", order: str | None = None) -> DataFrame:
+    """One row for each key: the last by `order`; without one the greatest by what it holds, the same one every time."""
+    by = order or ("content_hash" if "content_hash" in rows.columns else None)
+    last = W.partitionBy(key).orderBy(F.col(by).desc() if by else F.xxhash64(*rows.columns))
+    return rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
+
+
 def delete(stored: DataFrame, ids: DataFrame, key: str = "chunk_id") -> tuple[DataFrame, int]:
     """What is left, and how many stored rows the ids hit (repeated ids count once)."""
     return stored.join(ids.select(key), key, "left_anti"), stored.join(ids.select(key), key, "left_semi").count()
@@ -186,33 +201,6 @@ def diff(stored: DataFrame, new: DataFrame, key: str = "chunk_id", digest: str =
     return a.join(b, key, "full_outer").select(key, action.alias("action"))
 
 
-def persist(tables: dict[str, DataFrame], path: str, version: int) -> None:
-    """Writes tables as one version, then the manifest that makes it valid."""
-    spark = next(iter(tables.values())).sparkSession
-    counts = {}
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/v{version}/{name}")
-        counts[name] = spark.read.parquet(f"{path}/v{version}/{name}").count()
-    manifest = json.dumps({"version": version, "counts": counts})
-    spark.createDataFrame([(version, manifest)], "version int, manifest string").coalesce(1).write.mode("append").json(f"{path}/_manifest")
-
-
-def load(spark: SparkSession, path: str) -> tuple[int, dict[str, DataFrame]]:
-    """The newest version whose manifest was written; a table that lost rows is an error."""
-    try:
-        row = spark.read.schema("version int, manifest string").json(f"{path}/_manifest").orderBy(F.col("version").desc()).first()
-    except Exception as e:
-        raise IndexError_(f"no index at {path}") from e
-    if row is None:
-        raise IndexError_(f"no index at {path}")
-    manifest = json.loads(row["manifest"])
-    tables = {name: spark.read.parquet(f"{path}/v{manifest['version']}/{name}") for name in manifest["counts"]}
-    for name, n in manifest["counts"].items():
-        if (found := tables[name].count()) != n:
-            raise IndexError_(f"{name} holds {found} rows, its manifest says {n}")
-    return manifest["version"], tables
-
-
 EMBEDDERS = {"hashing": embed}
 #: Why the embedder asked for isn't the one in use.
 FALLBACK_REASON: dict[str, str] = {}

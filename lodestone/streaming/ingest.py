@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.errors import IndexError_
 from lodestone.operators import chunks as C
 from lodestone.operators import index as I
+from lodestone.operators import store
 
 
 def stream_rows(spark: SparkSession, directory: str, table: str) -> DataFrame:
@@ -16,22 +16,23 @@ def stream_rows(spark: SparkSession, directory: str, table: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{directory}/{table}*")
 
 
-def ingest_stream(rows: DataFrame, table: str, key: tuple[str, ...], path: str, checkpoint: str, source_id: str = "stream"):
-    """Starts a query that upserts row chunks into the index at `path`. A batch that is run again changes nothing:
-    a batch's number is its version, and chunk ids don't depend on content."""
+def ingest_stream(rows: DataFrame, table: str, key: tuple[str, ...], path: str, checkpoint: str, source_id: str = "stream", embedder: str = "hashing"):
+    """Starts a query that upserts row chunks into the index at `path`, whatever version it has.
+
+    All tables of the index follow: postings, statistics and vectors too. A batch writes its own rows and the ids they
+    replace, nothing else. The index remembers the last batch of each stream (told by its checkpoint), so one that is run
+    again changes nothing. Of rows that repeat a key within a batch one stays.
+    """
+    embed = I.get_embedder(embedder)
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        text = C.row_text(batch, table, key, {}, {})
-        new = C.row_chunks(text, table, source_id)
-        try:
-            version, stored = I.load(spark, path)
-        except IndexError_:
-            version, stored = 0, {}
-        if version > number:
+        if store.last_batch(spark, path, checkpoint) >= number:
             return
-        merged = I.upsert(stored["chunks"], new) if stored else new
-        I.persist({"chunks": merged}, path, number + 1)
+        new = I.distinct_keys(C.row_chunks(C.row_text(batch, table, key, {}, {}), table, source_id)).persist()
+        added = {"chunks": new, "postings": I.postings(new), "stats": I.doc_stats(new), "vectors": embed(new)}
+        store.commit(spark, path, added, new.select("chunk_id"), (checkpoint, number))
+        new.unpersist()
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

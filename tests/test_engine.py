@@ -1,9 +1,13 @@
 """Questions end to end over the star schema, and sources."""
 
+import shutil
+
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.engine import Engine
-from lodestone.errors import ConfigError, SourceError
+from lodestone.errors import ConfigError, IndexError_, SourceError
+from lodestone.operators import store
 from lodestone.plans import planner
 from lodestone.sources.catalog import Catalog
 from lodestone.sources.files import FilesSource, open_source
@@ -81,15 +85,44 @@ def test_ingest_is_incremental(spark, data):
     e = Engine(Catalog(spark, data))
     first = e.ingest(["region"])
     assert first["insert"] == 6 and e.ingest(["region"]) == {"insert": 0, "update": 0, "skip": 6, "delete": 0}
+    assert e.ingest(["nation"])["delete"] == 0 and e.index["chunks"].count() == 6 + 26  # another table stays
+
+
+def test_ingest_into_a_path(spark, data, tmp_path):
+    """Engines add to what is there; versions are never written over."""
+    path = str(tmp_path / "index")
+    assert Engine(Catalog(spark, data)).ingest(["region"], path=path)["insert"] == 6
+    second = Engine(Catalog(spark, data))
+    assert second.ingest(["nation"], path=path) == {"insert": 26, "update": 0, "skip": 0, "delete": 0}
+    third = Engine(Catalog(spark, data))
+    assert third.ingest(["region", "nation"], path=path) == {"insert": 0, "update": 0, "skip": 32, "delete": 0}
+    version, tables = store.load(spark, path)
+    assert version == 2 and {n: t.select("chunk_id").distinct().count() for n, t in tables.items()} == {"chunks": 32, "postings": 32, "stats": 32, "vectors": 32}
+    some = tables["chunks"].where("`table` = 'region' and kind = 'row'")
+    changed = some.withColumn("text", F.lit("changed"))
+    for _ in range(store.MOST_PARTS + 2):  # beyond this many parts they're merged
+        store.commit(spark, path, {"chunks": changed}, changed.select("chunk_id"))
+    version, tables = store.load(spark, path)
+    assert version == store.MOST_PARTS + 4 and tables["chunks"].count() == 32 and tables["chunks"].where("text = 'changed'").count() == 5
+    shutil.rmtree(next((tmp_path / "index").glob(f"v{version}/chunks")))
+    with pytest.raises(IndexError_):
+        store.load(spark, path)
 
 
 def test_stream(spark, data, tmp_path):
+    """A stream into an index that is there already: all tables follow, nothing is dropped, a second run changes nothing."""
     from lodestone.streaming.ingest import event_counts, ingest_stream, stream_rows
 
     path = str(tmp_path / "index")
+    Engine(Catalog(spark, data)).ingest(["region"], path=path)
+    Engine(Catalog(spark, data)).ingest(["customer"], path=path)
     for _ in range(2):
         ingest_stream(stream_rows(spark, data, "nation"), "nation", ("n_nationkey",), path, str(tmp_path / "ckpt")).awaitTermination(90)
-    from lodestone.operators.index import load
-
-    assert load(spark, path)[1]["chunks"].count() == 25
+    version, tables = store.load(spark, path)
+    assert version == 3 and tables["chunks"].where("source_id = 'stream'").count() == 25
+    assert {t.select("chunk_id").distinct().count() for t in tables.values()} == {6 + 151 + 25}
+    e = Engine(Catalog(spark, data))
+    e.open(path)
+    asked = spark.createDataFrame([(0, "NATION_7")], "qid int, text string")
+    assert "NATION_7" in e.retrieve(asked).join(e.index["chunks"], "chunk_id").orderBy("rank").first()["text"]
     assert event_counts(spark.read.parquet(f"{data}/events.parquet")).agg({"n": "sum"}).first()[0] == 1000

@@ -83,10 +83,12 @@ def test_maintenance(spark, tmp_path):
     left, n = I.delete(old, spark.createDataFrame([("a",), ("a",), ("z",)], "chunk_id string"))
     assert n == 1 and left.count() == 2
     path = str(tmp_path / "index")
-    I.persist({"chunks": old}, path, 1)
-    I.persist({"chunks": new}, path, 2)
+    I.commit(spark, path, {"chunks": old})
+    I.commit(spark, path, {"chunks": new}, old)
     version, tables = I.load(spark, path)
     assert version == 2 and tables["chunks"].count() == 3
+    again = spark.createDataFrame([("a", "5"), ("a", "7"), ("d", "1")], "chunk_id string, content_hash string")
+    assert sorted(tuple(r) for r in I.upsert(old, again).collect()) == [("a", "7"), ("b", "2"), ("c", "3"), ("d", "1")]
     with pytest.raises(IndexError_):
         I.load(spark, str(tmp_path / "none"))
 
