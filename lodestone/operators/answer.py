@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import GenerationConfig
 from lodestone.functions import text as X
+from lodestone.operators.stage import staged
 
 SEPARATOR_TOKENS = 2
 MAX_BLOCKS, MAX_SEGMENTS, EVIDENCE = 3, 2, 0.6
@@ -85,7 +86,7 @@ def block(marker: Column, hit: dict[str, Column]) -> Column:
     return F.concat(F.lit("["), marker.cast("string"), F.lit("] source="), hit["source_id"], F.lit(" kind="), hit["kind"], F.lit(" table="), hit["table"], rows, F.lit(" score="), F.format_string("%.3f", hit["score"]), F.lit("\n"), hit["body"])
 
 
-def pack(hits: DataFrame, config: GenerationConfig = GenerationConfig(), reserved: int = 0) -> DataFrame:
+def pack(hits: DataFrame, config: GenerationConfig = GenerationConfig(), reserved: Column | int = 0) -> DataFrame:
     """hits with marker, body and cost: what fits the budget, the lowest scores left out first, numbered in input order.
 
     What is kept is the longest prefix by falling score whose running cost fits, which a window finds in one pass.
@@ -171,11 +172,10 @@ def finalize(questions: DataFrame, answers: DataFrame, packed: DataFrame) -> Dat
 
 def answer(questions: DataFrame, hits: DataFrame, config: GenerationConfig = GenerationConfig()) -> DataFrame:
     """Extractive answers: (qid, text, refused, reason, citations) for every question."""
-    hits = hits.persist()  # as many rows for each question as retrieval gave, read several times
-    gate = assess(questions, hits, config).select("qid", "code").persist()
-    supported = hits.join(gate.where("code = 'supported'"), "qid", "left_semi")
-    packed = pack(supported, config).persist()
-    done = finalize(questions, compose(questions, packed, config).persist(), packed)
+    hits = staged(hits)  # as many rows for each question as retrieval gave, read several times
+    gate = staged(assess(questions, hits, config).select("qid", "code"))
+    packed = staged(pack(hits.join(gate.where("code = 'supported'"), "qid", "left_semi"), config))
+    done = finalize(questions, staged(compose(questions, packed, config)), packed)
     none = F.array().cast(done.schema["citations"].dataType)
     all_ = gate.join(done, "qid", "left")
     reason = F.when(F.col("code") != "supported", F.col("code")).when(F.col("refused").isNull(), "no_extractable_answer").otherwise(F.col("reason"))

@@ -1,13 +1,17 @@
 """Column profiles and roles, over whole tables.
 
-Counts, ranges and lengths take one aggregate with map-side combination. Distinct counts unpivot the table to
-(column, value) and group by both, so a wide table costs one shuffle whatever its number of columns, and no
-group is larger than one value. Vocabularies are read in a second pass, of columns known to have few values.
+Counts, ranges, lengths and estimates of distinct values take one aggregate with map-side combination. `survey` goes
+on from there: only columns that may have few values are read again, for their exact values, so neither a count nor
+a vocabulary shuffles the others. `profile` counts distinct values exactly for every column: it unpivots the table to
+(column, value) and groups by both, so that no group is larger than one value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import Counter
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,8 +65,12 @@ def long_form(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     return df.select(F.explode(cells).alias("x")).select("x.*")
 
 
-def _counts(df: DataFrame) -> DataFrame:
-    """One row per column: total, nulls, lo, hi, mean_len, date_share, boolean_like."""
+#: Relative error of the estimates of distinct values.
+ERROR = 0.02
+
+
+def _counts(df: DataFrame, estimate: bool = False) -> DataFrame:
+    """One row per column: total, nulls, lo, hi, mean_len, date_share, boolean_like; with an estimate, distinct too."""
     fields = columns_of(df)
     aggregates = []
     for f in fields:
@@ -80,6 +88,7 @@ def _counts(df: DataFrame) -> DataFrame:
                 (F.avg(F.length(c)) if text else F.lit(None).cast("double")).alias("mean_len"),
                 (F.avg(F.when(c.isNotNull(), X.looks_like_date(c).cast("int"))) if text else F.lit(None).cast("double")).alias("date_share"),
                 F.coalesce(F.every(token.isin(*BOOLEAN_TOKENS)), F.lit(False)).alias("boolean_like"),
+                *([F.approx_count_distinct(c, ERROR).alias("distinct")] if estimate else []),
             ).alias(f.name)
         )
     return df.agg(*aggregates).select(F.explode(F.array(*(F.col(f"`{f.name}`") for f in fields))).alias("x")).select("x.*")
@@ -87,16 +96,71 @@ def _counts(df: DataFrame) -> DataFrame:
 
 def profile(df: DataFrame, table: str, keys: tuple[str, ...] = (), refs: dict[str, str] | None = None, approximate: bool = False) -> DataFrame:
     """(table, column, family, total, nulls, distinct, lo, hi, mean_len, role) of every scalar column."""
-    refs = refs or {}
-    cells = long_form(df).where("value is not null")
     if approximate:
-        distinct = cells.groupBy("column").agg(F.approx_count_distinct("value").alias("distinct"))
+        found = _counts(df, estimate=True)
     else:
+        cells = long_form(df).where("value is not null")
         distinct = cells.groupBy("column", "value").agg(F.lit(1).alias("one")).groupBy("column").agg(F.count("*").alias("distinct"))
-    names = [f.name for f in columns_of(df)]
+        found = _counts(df).join(distinct, "column", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0).cast("long")))
+    return _with_role(found, table, [f.name for f in columns_of(df)], keys, refs or {})
+
+
+COLUMNS = ("table", "column", "family", "total", "nulls", "distinct", "lo", "hi", "mean_len", "role")
+
+
+def _with_role(found: DataFrame, table: str, names: list[str], keys: tuple[str, ...], refs: dict[str, str]) -> DataFrame:
     flags = F.create_map(*(x for n in names for x in (F.lit(n), F.struct(F.lit(n in keys).alias("key"), F.lit(n in refs).alias("ref"), F.lit(looks_like_id(n)).alias("id_like")))))
-    found = _counts(df).join(distinct, "column", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0).cast("long"))).withColumn("flag", flags[F.col("column")])
-    return found.select(F.lit(table).alias("table"), "column", "family", "total", "nulls", "distinct", "lo", "hi", "mean_len", role_column().alias("role"))
+    return found.withColumn("flag", flags[F.col("column")]).select(F.lit(table).alias("table"), *COLUMNS[1:-1], role_column().alias("role"))
+
+
+def survey(frames: dict[str, DataFrame], declared: dict[str, tuple[tuple[str, ...], dict[str, str]]]) -> tuple[list[Row], list[Row]]:
+    """(profile rows, (table, column, value) rows) of several tables in two jobs; declared: keys and references by table.
+
+    The first job makes one row for each column; the second reads those that may be categorical or boolean, which have
+    about MAX_CATEGORIES values at most. Both results are bounded by the number of columns. Distinct counts of other
+    columns are estimates.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    counted = reduce(DataFrame.unionByName, (_counts(df, estimate=True).select(F.lit(t).alias("table"), "*") for t, df in frames.items()))
+    schema, rows = counted.schema, counted.collect()
+    few = lambda r: 0 < r["distinct"] <= MAX_CATEGORIES * (1 + 5 * ERROR) and (r["family"] == "TEXT" and (r["mean_len"] or 0) <= CATEGORY_LENGTH or r["boolean_like"])
+    wanted = {t: [r["column"] for r in rows if r["table"] == t and few(r)] for t in frames}
+    parts = [long_form(df, wanted[t]).where("value is not null").distinct().select(F.lit(t).alias("table"), "column", "value") for t, df in frames.items() if wanted[t]]
+    values = reduce(DataFrame.unionByName, parts).collect() if parts else []
+    exact = Counter((v["table"], v["column"]) for v in values)
+    settled = [Row(**(r.asDict() | {"distinct": exact.get((r["table"], r["column"]), r["distinct"])})) for r in rows]
+    profiled = []
+    for t, df in frames.items():
+        own = spark.createDataFrame([r for r in settled if r["table"] == t], schema)  # a row for each column
+        profiled += _with_role(own, t, [f.name for f in columns_of(df)], *declared.get(t, ((), {}))).collect()
+    kept = {(r["table"], r["column"]) for r in profiled if r["role"] in ("CATEGORICAL", "BOOLEAN")}
+    return profiled, [v for v in values if (v["table"], v["column"]) in kept]
+
+
+def samples(df: DataFrame, n: int = SAMPLES, within: int = 2000) -> DataFrame:
+    """(column, samples): the first n distinct values of each column, in scan order, of the first `within` rows."""
+    head = df.limit(within).withColumn("__n", F.monotonically_increasing_id())
+    cells = F.array(*(F.struct(F.lit(f.name).alias("column"), F.col(f"`{f.name}`").cast("string").alias("value")) for f in columns_of(df)))
+    first = head.select("__n", F.explode(cells).alias("x")).where("x.value is not null").groupBy("x.column", "x.value").agg(F.min("__n").alias("at"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"])  # at most `within` values
+    return first.groupBy("column").agg(F.slice(ordered, 1, n).alias("samples"))
+
+
+def family_from_values(value: Column) -> Column:
+    """An aggregate: the family of text values as a whole. Whole numbers and fractions are fractions, dates and times are
+    times; any other mix is unknown, as is a column without values."""
+    v = F.trim(value)
+    kind = (
+        F.when(v.rlike(r"^[+-]?\d+$"), "INTEGER")
+        .when(v.rlike(r"^[+-]?(\d+\.\d*|\.\d+|\d+)([eE][+-]?\d+)?$"), "FLOAT")
+        .when(F.lower(v).isin("true", "false"), "BOOLEAN")
+        .when(v.rlike(r"^\d{4}-\d{2}-\d{2}$") & X.looks_like_date(v), "DATE")
+        .when(v.rlike(r"^\d{4}-\d{2}-\d{2}[T ]") & X.looks_like_date(v), "TIMESTAMP")
+        .otherwise("TEXT")
+    )
+    kinds = F.array_sort(F.collect_set(F.when(v.isNotNull() & (v != ""), kind)))
+    numbers, times = F.array(F.lit("FLOAT"), F.lit("INTEGER")), F.array(F.lit("DATE"), F.lit("TIMESTAMP"))
+    return F.when(F.size(kinds) == 1, F.element_at(kinds, 1)).when(kinds == numbers, "FLOAT").when(kinds == times, "TIMESTAMP").otherwise("UNKNOWN")
 
 
 def role_column() -> Column:
@@ -121,9 +185,11 @@ def role_column() -> Column:
 
 def categories(df: DataFrame, profiled: DataFrame) -> DataFrame:
     """(table, column, value) of the columns that are CATEGORICAL or BOOLEAN, at most MAX_CATEGORIES values each."""
-    chosen = profiled.where(F.col("role").isin("CATEGORICAL", "BOOLEAN")).select("table", "column")
-    values = long_form(df).where("value is not null").groupBy("column", "value").agg(F.lit(1).alias("one")).drop("one")
-    return values.join(F.broadcast(chosen), "column").select("table", "column", "value")  # one row per column of one table
+    chosen = profiled.where(F.col("role").isin("CATEGORICAL", "BOOLEAN")).select("table", "column").collect()  # a row for each column
+    if not chosen:
+        return df.sparkSession.createDataFrame([], "`table` string, `column` string, value string")
+    values = long_form(df, [r["column"] for r in chosen]).where("value is not null").distinct()
+    return values.select(F.lit(chosen[0]["table"]).alias("table"), "column", "value")
 
 
 def deterministic_sample(df: DataFrame, ordinal: str, n: int = 5000) -> DataFrame:

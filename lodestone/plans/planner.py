@@ -31,7 +31,8 @@ AGGREGATES = (
     ("MAX", ("maximum", "max", "highest", "largest", "biggest", "greatest", "most")),
     ("MIN", ("minimum", "min", "lowest", "smallest", "least")),
 )
-GROUPING = re.compile(r"(?i)\b(?:per|for each|in each|of each|grouped by|group by|broken down by|for every|in every|each|every)\s+(.{1,40})")
+#: Words that a grouping follows; `by` does after one of DIVIDED.
+DISTRIBUTIVE, DIVIDED = {"per", "each", "every"}, {"group", "grouped", "down", "split", "divided"}
 MONTHS = {m.lower(): i for i, m in enumerate(calendar.month_name) if m} | {m.lower(): i for i, m in enumerate(calendar.month_abbr) if m} | {"sept": 9}
 
 
@@ -133,6 +134,15 @@ def _valid(text: str) -> bool:
     return True
 
 
+def grouping(question: str, most: int = 6) -> str:
+    """The words after the first sign of a grouping; empty for none."""
+    words = tokens(question)
+    for k, w in enumerate(words):
+        if w in DISTRIBUTIVE or w == "by" and k and words[k - 1] in DIVIDED:
+            return " ".join(words[k + 1 : k + 1 + most])
+    return ""
+
+
 def plan(question: str, lex: Lexicon) -> AggPlan:
     """Fills the slots of one aggregate, or says why it can't. What a question limits is never dropped."""
     if wrong := lex.unresolved_constraints(question):
@@ -171,8 +181,8 @@ def plan(question: str, lex: Lexicon) -> AggPlan:
         by_column.setdefault((m.table, m.column), []).append(m.value)
     for (t, c), values in by_column.items():
         out.conditions.append(Condition(t, c, "=", values[0]) if len(values) == 1 else Condition(t, c, "in", tuple(sorted(values))))
-    if g := GROUPING.search(question):
-        options = [m for m in lex.match_columns(g.group(1)) if lex.role(m.table, m.column) in ("CATEGORICAL", "DATE", "BOOLEAN", "ID")]
+    if phrase := grouping(question):
+        options = [m for m in lex.match_columns(phrase) if lex.role(m.table, m.column) in ("CATEGORICAL", "DATE", "BOOLEAN", "ID")]
         if options:
             best = min(options, key=lambda m: (m.table != table, lex.role(m.table, m.column) != "CATEGORICAL", -m.size, m.column))
             out.group = (best.table, best.column)
@@ -206,7 +216,7 @@ def to_frame(p: AggPlan, lex: Lexicon) -> DataFrame:
     needed = lambda t: sorted({c.column for c in p.conditions if c.table == t} | {h[1] for h in p.hops if h[0] == t} | {h[3] for h in p.hops if h[2] == t} | ({p.target} if t == p.table and p.target else set()) | ({p.group[1]} if p.group and p.group[0] == t else set()))
 
     def scan(t: str) -> DataFrame:
-        df = lex.catalog.load(t)
+        df = lex.catalog.data(t)
         for c in (c for c in p.conditions if c.table == t):
             x = F.col(c.column)
             df = df.where(x.isin(*c.value) if c.op == "in" else x == c.value if c.op == "=" else x >= F.lit(c.value) if c.op == ">=" else x < F.lit(c.value))

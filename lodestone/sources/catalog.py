@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.errors import SchemaError, SourceError
-
-
-@dataclass(frozen=True)
-class Table:
-    name: str
-    key: tuple[str, ...] = ()
-    refs: dict[str, str] = field(default_factory=dict)  # column -> table.column
-    aliases: dict[str, tuple[str, ...]] = field(default_factory=dict)  # column (or "" for the table) -> words for it
+from lodestone.errors import SourceError
+from lodestone.sources.base import ORDINAL, Source, Table, column_of, file_statuses  # noqa: F401
 
 
 #: The star schema and the text tables. lineitem has no key of its own: its pairs of order and line repeat.
@@ -40,7 +31,7 @@ STAR = {
 }
 
 
-class Catalog:
+class Catalog(Source):
     """The tables of one directory of parquet files, under their declared keys."""
 
     def __init__(self, spark: SparkSession, directory: str, tables: dict[str, Table] | None = None, source_id: str = "parquet"):
@@ -59,66 +50,16 @@ class Catalog:
         self.table(name)
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 
-    def schema(self, name: str) -> list[dict]:
-        """Name, type, nullability, key and reference of each column; key columns are never nullable."""
-        t = self.table(name)
-        return [{"name": f.name, "type": f.dataType.simpleString(), "nullable": f.nullable and f.name not in t.key, "is_key": f.name in t.key, "references": t.refs.get(f.name)} for f in self.load(name).schema.fields]
-
-    def row_count(self, name: str) -> int:
-        return self.load(name).count()
-
-    def scan(self, name: str) -> DataFrame:
-        """In the order of the effective key: the declared one, else the row's place in its file."""
-        df, key = self.load(name), self.table(name).key
-        return df.orderBy(*key) if key else with_ordinal(df).orderBy("_file", "_row_ordinal")
-
-    def iter_rows(self, name: str, batch_size: int = 1000):
-        """Batches of rows in key order, one partition at a time on the driver."""
-        if batch_size <= 0:
-            raise ValueError("batch_size must be positive")
-        batch = []
-        for row in self.scan(name).toLocalIterator():
-            batch.append(row.asDict())
-            if len(batch) == batch_size:
-                yield batch
-                batch = []
-        if batch:
-            yield batch
-
-    def references(self) -> list[tuple[str, str, str, str]]:
-        """(table, column, other table, other column) of every declared reference."""
-        return [(t.name, c, *r.split(".")) for t in self.declared.values() for c, r in t.refs.items()]
-
-    def path(self, left: str, right: str) -> tuple[str, str] | None:
-        """The columns that join two tables over one reference, in either direction."""
-        for t, c, o, oc in self.references():
-            if (t, o) == (left, right):
-                return c, oc
-            if (o, t) == (left, right):
-                return oc, c
-        return None
-
-    def route(self, left: str, right: str, limit: int = 3) -> list[tuple[str, str, str]] | None:
-        """The shortest chain of references: (column, next table, its column) for each hop."""
-        queue, seen = [(left, [])], {left}
-        while queue:
-            at, hops = queue.pop(0)
-            if at == right:
-                return hops
-            if len(hops) < limit:
-                for other in self.tables():
-                    if other not in seen and (p := self.path(at, other)):
-                        seen.add(other)
-                        queue.append((other, [*hops, (p[0], other, p[1])]))
-        return None
-
+    def rows(self, name: str) -> DataFrame:
+        return self.load(name) if self.table(name).key else with_ordinal(self.load(name))
 
-def column_of(df: DataFrame, name: str) -> str:
-    if name not in df.columns:
-        raise SchemaError(f"no such column: {name}")
-    return name
+    def fingerprint(self) -> str:
+        """From the names, sizes and times of all files, folders' own included."""
+        own = file_statuses(self.spark, self.directory)
+        parts = [x for path, _, _, folder in own if folder for x in file_statuses(self.spark, path)]
+        return str(hash(tuple(own + parts)))
 
 
 def with_ordinal(df: DataFrame) -> DataFrame:
     """Adds the file and the 0-based place within it of each row of a parquet scan."""
-    return df.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row_ordinal"))
+    return df.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias(ORDINAL))

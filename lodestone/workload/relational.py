@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from lodestone.engine import Engine, flagship
@@ -15,10 +13,19 @@ from lodestone.sources.catalog import Catalog, with_ordinal
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 
 
-@lru_cache(maxsize=4)
+_ENGINES: dict = {}
+
+
+def engine(spark, directory: str) -> Engine:
+    """The engine of a directory, as an application would hold it. It reads its words again whenever the files change."""
+    if _ENGINES.get("for") != (id(spark), directory):
+        _ENGINES.update({"for": (id(spark), directory), "engine": Engine(Catalog(spark, directory))})
+    return _ENGINES["engine"]
+
+
 def lexicon(spark, directory: str) -> Lexicon:
-    """The lexicon of the star schema, built once for a directory from its profiles."""
-    return Engine(Catalog(spark, directory)).lexicon(TABLES)
+    """The words of the star schema."""
+    return engine(spark, directory).lexicon(TABLES)
 
 
 def asked(question: str, digits: int | None = None):
@@ -57,15 +64,13 @@ def readonly(spark, directory):
     return spark.createDataFrame([(*r, found.truncated) for r in found.rows], "n_name string, n_regionkey int, truncated boolean")
 
 
+SPANS = [(0, "2030-01-01", "2030-12-31"), (1, "1995-03-01", "1995-06-30"), (2, "2024-01-05", "2024-01-06"), (3, "1900-01-01", "1994-12-31"), (4, "1994-12-31", "1995-01-01"), (5, "2024-02-15", "2025-01-01")]
+
+
 def outside(spark, directory):
-    """Whether date ranges miss all dates of orders and of events."""
-    catalog = Catalog(spark, directory)
-    spans = None
-    for t, c in (("orders", "o_orderdate"), ("events", "ts")):
-        own = catalog.load(t).agg(F.date_format(F.min(c), "yyyy-MM-dd").alias("a"), F.date_format(F.max(c), "yyyy-MM-dd").alias("b"))
-        spans = own if spans is None else spans.unionByName(own)
-    asked_ = spark.createDataFrame([(0, "2030-01-01", "2030-12-31"), (1, "1995-03-01", "1995-06-30"), (2, "2024-01-05", "2024-01-06"), (3, "1900-01-01", "1994-12-31")], "qid int, lo string, hi string")
-    return asked_.crossJoin(F.broadcast(spans)).groupBy("qid").agg(F.every((F.col("hi") < F.col("a")) | (F.col("lo") > F.col("b"))).alias("is_outside"))  # spans has two rows
+    """Whether date ranges miss all dates of orders and of events, as the engine's lexicon sees it."""
+    lex = Engine(Catalog(spark, directory)).lexicon(["orders", "events"])
+    return spark.createDataFrame([(q, lex.outside_data(lo, hi)) for q, lo, hi in SPANS], "qid int, is_outside boolean")
 
 
 def lexicon_values(spark, directory):
@@ -105,6 +110,6 @@ QUERIES = {
     "agg_fk_join": (asked("How many orders were placed by customers in the BUILDING segment?"), "SELECT count(*) AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'"),
     "agg_fk_join_group": (asked("How many orders were placed for each market segment?"), "SELECT c_mktsegment, count(*) AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
     "agg_two_hop_join": (asked("What is the total quantity of line items of customers in the AUTOMOBILE segment?", 2), "SELECT round(sum(l_quantity), 2) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'AUTOMOBILE'"),
-    "date_range_guard": (outside, "WITH r AS (SELECT min(o_orderdate)::DATE::VARCHAR a, max(o_orderdate)::DATE::VARCHAR b FROM orders UNION ALL SELECT min(ts)::DATE::VARCHAR, max(ts)::DATE::VARCHAR FROM events), q(qid, lo, hi) AS (VALUES (0, '2030-01-01', '2030-12-31'), (1, '1995-03-01', '1995-06-30'), (2, '2024-01-05', '2024-01-06'), (3, '1900-01-01', '1994-12-31')) SELECT qid::INT AS qid, bool_and(hi < a OR lo > b) AS is_outside FROM q, r GROUP BY qid"),
+    "date_range_guard": (outside, "WITH r AS (SELECT min(o_orderdate)::DATE::VARCHAR a, max(o_orderdate)::DATE::VARCHAR b FROM orders UNION ALL SELECT min(ts)::DATE::VARCHAR, max(ts)::DATE::VARCHAR FROM events), q(qid, lo, hi) AS (VALUES (0, '2030-01-01', '2030-12-31'), (1, '1995-03-01', '1995-06-30'), (2, '2024-01-05', '2024-01-06'), (3, '1900-01-01', '1994-12-31'), (4, '1994-12-31', '1995-01-01'), (5, '2024-02-15', '2025-01-01')) SELECT qid::INT AS qid, bool_and(hi < a OR lo > b) AS is_outside FROM q, r GROUP BY qid"),
     "lexicon_values": (lexicon_values, categorical_sql()),
 }

@@ -24,8 +24,7 @@ def questions(spark, directory):
 
 def _index(spark, directory):
     docs = documents(spark, directory)
-    posted = I.postings(docs).persist()
-    return posted, I.doc_stats(docs)
+    return I.postings(docs), I.doc_stats(docs)
 
 
 def postings(spark, directory):

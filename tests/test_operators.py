@@ -103,11 +103,16 @@ def test_fusion(spark):
         R.fuse("nope", lists)
 
 
-def test_expansion():
-    assert R.variants("Orders of 3 March 2024, please")[1:] == ["Orders of 3 March 2024 please", "Orders of 2024-03-03, please"]
+def test_expansion(spark):
+    some = spark.createDataFrame([(0, "Orders of 3 March 2024, please"), (1, "Ask  Mohamed al-Sayed of World Health Organization"), (2, None)], "qid int, text string")
+    made = {}
+    for r in R.expand(some, limit=9).orderBy("qid", "variant").collect():
+        made.setdefault(r["qid"], []).append((r["text"], r["weight"]))
+    assert made[0] == [("Orders of 3 March 2024, please", 1.0), ("Orders of 3 March 2024 please", 0.5), ("Orders of 2024-03-03, please", 0.5)]
+    assert ("Ask Muhammad al-Sayed of World Health Organization", 0.5) in made[1] and any("WHO" in t for t, _ in made[1]) and 2 not in made
     assert R.iso_dates("March 2024") == "2024-03" and R.initials("The National Bank Group of X")[0] == "The NBG of X"
     with pytest.raises(ConfigError):
-        R.variants("x", ("nope",))
+        R.expand(some, ("nope",))
 
 
 def test_gates_and_answers(spark):
