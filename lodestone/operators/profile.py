@@ -1,8 +1,8 @@
 """Column profiles and roles, over whole tables.
 
-Counts, ranges, lengths and estimates of distinct values take one aggregate with map-side combination. `survey` goes
-on from there: only columns that may have few values are read again, for their exact values, so neither a count nor
-a vocabulary shuffles the others. `profile` counts distinct values exactly for every column: it unpivots the table to
+Counts, ranges and lengths take one aggregate with map-side combination. `survey` goes on from there: only columns that
+this doesn't settle get an estimate of their distinct values, and only those of few values are read for what they hold,
+so neither a count nor a vocabulary shuffles the others. `profile` counts distinct values exactly for every column: it unpivots the table to
 (column, value) and groups by both, so that no group is larger than one value.
 """
 
@@ -113,28 +113,65 @@ def _with_role(found: DataFrame, table: str, names: list[str], keys: tuple[str,
     return found.withColumn("flag", flags[F.col("column")]).select(F.lit(table).alias("table"), *COLUMNS[1:-1], role_column().alias("role"))
 
 
+#: Whether a text reads as a date, as `text.looks_like_date` has it; most texts end at the first test.
+DATE_SQL = r"""CASE WHEN {c} RLIKE '^\\s*[0-9]{{4}}' THEN coalesce(try_to_date(CASE
+ WHEN trim({c}) RLIKE '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([T ][0-9]{{2}}:[0-9]{{2}}(:[0-9]{{2}}([.][0-9]+)?)?(Z|[+-][0-9]{{2}}:?[0-9]{{2}})?)?$' THEN substring(trim({c}), 1, 10)
+ WHEN trim({c}) RLIKE '^[0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}}$' THEN concat_ws('-', split_part(trim({c}), '/', 1), lpad(split_part(trim({c}), '/', 2), 2, '0'), lpad(split_part(trim({c}), '/', 3), 2, '0'))
+ WHEN trim({c}) RLIKE '^(19|20)[0-9]{{6}}$' THEN concat_ws('-', substring(trim({c}), 1, 4), substring(trim({c}), 5, 2), substring(trim({c}), 7, 2)) END, 'yyyy-MM-dd') IS NOT NULL, false) ELSE false END"""
+COUNTED = "`table` string, `column` string, family string, total bigint, nulls bigint, lo string, hi string, mean_len double, date_share double"
+
+
+def _first_look(df: DataFrame, table: str) -> DataFrame:
+    """COUNTED: a row for each column, from one aggregate that Spark compiles as a whole."""
+    parts = []
+    for f in columns_of(df):
+        c, kind = f"`{f.name.replace('`', '``')}`", f.dataType
+        show = "CAST(CAST({} AS DECIMAL(28,2)) AS STRING)" if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)) else "CAST(CAST({} AS DATE) AS STRING)" if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else "CAST({} AS STRING)"
+        text = isinstance(kind, T.StringType)
+        length, date = (f"avg(length({c}))", f"avg(CASE WHEN {c} IS NOT NULL THEN CAST({DATE_SQL.format(c=c)} AS INT) END)") if text else ("CAST(NULL AS DOUBLE)",) * 2
+        quoted = f.name.replace("\\", "\\\\").replace("'", "\\'")
+        parts.append(f"named_struct('column', '{quoted}', 'family', '{family(kind)}', 'total', count(1), 'nulls', count_if({c} IS NULL), 'lo', {show.format(f'min({c})')}, 'hi', {show.format(f'max({c})')}, 'mean_len', {length}, 'date_share', {date})")
+    return df.selectExpr(f"array({', '.join(parts)}) AS x").select(F.lit(table).alias("table"), F.explode("x").alias("x")).select("table", "x.*")
+
+
 def survey(frames: dict[str, DataFrame], declared: dict[str, tuple[tuple[str, ...], dict[str, str]]]) -> tuple[list[Row], list[Row]]:
-    """(profile rows, (table, column, value) rows) of several tables in two jobs; declared: keys and references by table.
+    """(profile rows, (table, column, value) rows) of several tables, in three jobs over all of them; declared: keys and references.
 
-    The first job makes one row for each column; the second reads those that may be categorical or boolean, which have
-    about MAX_CATEGORIES values at most. Both results are bounded by the number of columns. Distinct counts of other
-    columns are estimates.
+    A first look takes counts, ranges and lengths. Columns that it doesn't settle (short texts, numbers that may be flags or
+    ids) get an estimate of their distinct values, and those of few values are read for what they hold, so nothing else is
+    shuffled. All results are bounded by the number of columns. Distinct counts of columns that weren't read are estimates
+    (relative error ERROR), or 0 where nothing depends on them.
     """
     spark = next(iter(frames.values())).sparkSession
-    counted = reduce(DataFrame.unionByName, (_counts(df, estimate=True).select(F.lit(t).alias("table"), "*") for t, df in frames.items()))
-    schema, rows = counted.schema, counted.collect()
-    few = lambda r: 0 < r["distinct"] <= MAX_CATEGORIES * (1 + 5 * ERROR) and (r["family"] == "TEXT" and (r["mean_len"] or 0) <= CATEGORY_LENGTH or r["boolean_like"])
-    wanted = {t: [r["column"] for r in rows if r["table"] == t and few(r)] for t in frames}
-    parts = [long_form(df, wanted[t]).where("value is not null").distinct().select(F.lit(t).alias("table"), "column", "value") for t, df in frames.items() if wanted[t]]
+    rows = reduce(DataFrame.unionByName, (_first_look(df, t) for t, df in frames.items())).collect()
+    flag = lambda r: r["family"] in ("INTEGER", "NUMERIC", "FLOAT") and {r["lo"], r["hi"]} <= {"0", "1", "0.00", "1.00"}
+    asked: dict[str, list[str]] = {t: [] for t in frames}
+    for r in rows:
+        keys, refs = declared.get(r["table"], ((), {}))
+        short = r["family"] == "TEXT" and (r["mean_len"] or 0) <= CATEGORY_LENGTH and (r["date_share"] or 0) < DATE_SHARE
+        if r["column"] not in keys and r["column"] not in refs and (short or flag(r) or looks_like_id(r["column"])):
+            asked[r["table"]].append(r["column"])
+    parts = [df.agg(*(F.approx_count_distinct(f"`{c}`", ERROR).alias(str(k)) for k, c in enumerate(asked[t]))).select(F.lit(t).alias("t"), F.array(*map(F.col, map(str, range(len(asked[t]))))).alias("n")) for t, df in frames.items() if asked[t]]
+    rough = {(r["t"], c): n for r in (reduce(DataFrame.unionByName, parts).collect() if parts else []) for c, n in zip(asked[r["t"]], r["n"])}
+    kinds = {(r["table"], r["column"]): r for r in rows}
+    few = {k: n for k, n in rough.items() if 0 < n <= MAX_CATEGORIES * (1 + 5 * ERROR) and (kinds[k]["family"] == "TEXT" or flag(kinds[k]))}
+    parts = [long_form(df, [c for own, c in few if own == t]).where("value is not null").distinct().select(F.lit(t).alias("table"), "column", "value") for t, df in frames.items() if any(own == t for own, _ in few)]
     values = reduce(DataFrame.unionByName, parts).collect() if parts else []
+    held: dict[tuple[str, str], set[str]] = {}
+    for v in values:
+        held.setdefault((v["table"], v["column"]), set()).add(v["value"].strip().lower())
     exact = Counter((v["table"], v["column"]) for v in values)
-    settled = [Row(**(r.asDict() | {"distinct": exact.get((r["table"], r["column"]), r["distinct"])})) for r in rows]
+    settled = []
+    for r in rows:
+        k = (r["table"], r["column"])
+        settled.append((*r, exact.get(k, rough.get(k, 0)), bool(held.get(k)) and held[k] <= set(BOOLEAN_TOKENS)))
     profiled = []
     for t, df in frames.items():
-        own = spark.createDataFrame([r for r in settled if r["table"] == t], schema)  # a row for each column
-        profiled += _with_role(own, t, [f.name for f in columns_of(df)], *declared.get(t, ((), {}))).collect()
-    kept = {(r["table"], r["column"]) for r in profiled if r["role"] in ("CATEGORICAL", "BOOLEAN")}
-    return profiled, [v for v in values if (v["table"], v["column"]) in kept]
+        own = spark.createDataFrame([x for x in settled if x[0] == t], COUNTED + ", distinct bigint, boolean_like boolean")  # a row for each column
+        profiled.append(_with_role(own, t, [f.name for f in columns_of(df)], *declared.get(t, ((), {}))))
+    found = reduce(DataFrame.unionByName, profiled).collect()
+    kept = {(r["table"], r["column"]) for r in found if r["role"] in ("CATEGORICAL", "BOOLEAN")}
+    return found, [v for v in values if (v["table"], v["column"]) in kept]
 
 
 def samples(df: DataFrame, n: int = SAMPLES, within: int = 2000) -> DataFrame:

@@ -238,6 +238,30 @@ def ident(name: str) -> str:
     return f"`{name}`"
 
 
+def quoted(name: str) -> str:
+    """Any name in backticks, its own doubled; a NUL is refused."""
+    if not name or "\x00" in name:
+        raise PlanError(f"unsafe name: {name!r}")
+    return "`" + name.replace("`", "``") + "`"
+
+
+def qualified(*parts: str) -> str:
+    """schema.table and the like, each part in backticks; empty parts are left out."""
+    return ".".join(quoted(p) for p in parts if p)
+
+
+def table_named(source, name: str) -> str:
+    """The table of a source that a name means: as it is, by its last part, or whatever its case."""
+    last = name.replace("`", "").split(".")[-1]
+    for known in source.tables():
+        if known in (name, last):
+            return known
+    same = [t for t in source.tables() if t.lower() == last.lower()]
+    if len(same) != 1:
+        raise PlanError(f"no such table: {name}")
+    return same[0]
+
+
 def literal(value) -> str:
     text = str(value)
     if "\\" in text:

@@ -87,6 +87,43 @@ def categorical_sql() -> str:
     return "SELECT trim(regexp_replace(lower(value), '[^a-z0-9]+', ' ', 'g')) AS form, \"table\", \"column\", value FROM (" + " UNION ALL ".join(parts) + ")"
 
 
+#: (question, route, SQL of the value or None if it has to be refused)
+SET = [
+    ("How many orders have the status 'F'?", "aggregate", "SELECT count(*) FROM orders WHERE o_orderstatus = 'F'"),
+    ("How many orders were placed by customers in the BUILDING segment?", "hybrid", "SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'"),
+    ("How many orders were placed in March 1996?", "aggregate", "SELECT count(*) FROM orders WHERE o_orderdate >= TIMESTAMP '1996-03-01' AND o_orderdate < TIMESTAMP '1996-04-01'"),
+    ("How many orders were placed after 1996-01-01?", "aggregate", "SELECT count(*) FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-02'"),
+    ("How many parts of brand Brand#3 have the type PROMO?", "aggregate", "SELECT count(*) FROM part WHERE p_brand = 'Brand#3' AND p_type = 'PROMO'"),
+    ("How many customers are in the MACHINERY segment?", "aggregate", "SELECT count(*) FROM customer WHERE c_mktsegment = 'MACHINERY'"),
+    ("Number of line items with return flag 'R'", "aggregate", "SELECT count(*) FROM lineitem WHERE l_returnflag = 'R'"),
+    ("How many orders are there?", "aggregate", "SELECT count(*) FROM orders"),
+    ("How many orders were placed by customers in the BUILDING segment before 1990-01-01?", "hybrid", None),
+    ("How many orders have the status 'LOST'?", "aggregate", None),
+    ("What is the phone number of customer 7?", "aggregate", None),
+    ("How many warehouses are there?", "aggregate", None),
+    ("How many orders were placed between 2030-01-01 and 2030-12-31?", "aggregate", None),
+    ("How many orders were placed in the first half of 1996?", "aggregate", None),
+]
+
+
+def ask_batch(spark, directory):
+    """A question set through the engine: routed, planned, guarded, computed or refused."""
+    e = engine(spark, directory)
+    e.lexicon(TABLES)
+    return e.ask_batch([q for q, _, _ in SET]).select("qid", "value", "refused")
+
+
+def route_questions(spark, directory):
+    """The routes of the question set, of schema questions and of look-ups, over the words of the star schema."""
+    lex = lexicon(spark, directory)
+    return spark.createDataFrame([(n, planner.classify(q, lex).name) for n, (q, _) in enumerate(ROUTED)], "qid int, route string")
+
+
+ROUTED = [(q, r) for q, r, v in SET if v] + [
+    ("What columns does the orders table have?", "lookup"), ("Describe the schema of part", "lookup"), ("Tell me about customer 7", "lookup"), ("supplier 12", "lookup"),
+    ("Which customers ordered parts?", "hybrid"), ("What is the average retail price of parts?", "aggregate"), ("Total quantity of line items per return flag", "aggregate"), ("the largest part", "aggregate"), ("", "lookup"),
+]
+
 DAY = "o_orderdate >= TIMESTAMP '{}' AND o_orderdate < TIMESTAMP '{}'"
 
 QUERIES = {
@@ -112,4 +149,6 @@ QUERIES = {
     "agg_two_hop_join": (asked("What is the total quantity of line items of customers in the AUTOMOBILE segment?", 2), "SELECT round(sum(l_quantity), 2) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'AUTOMOBILE'"),
     "date_range_guard": (outside, "WITH r AS (SELECT min(o_orderdate)::DATE::VARCHAR a, max(o_orderdate)::DATE::VARCHAR b FROM orders UNION ALL SELECT min(ts)::DATE::VARCHAR, max(ts)::DATE::VARCHAR FROM events), q(qid, lo, hi) AS (VALUES (0, '2030-01-01', '2030-12-31'), (1, '1995-03-01', '1995-06-30'), (2, '2024-01-05', '2024-01-06'), (3, '1900-01-01', '1994-12-31'), (4, '1994-12-31', '1995-01-01'), (5, '2024-02-15', '2025-01-01')) SELECT qid::INT AS qid, bool_and(hi < a OR lo > b) AS is_outside FROM q, r GROUP BY qid"),
     "lexicon_values": (lexicon_values, categorical_sql()),
+    "ask_batch": (ask_batch, " UNION ALL ".join(f"SELECT {n}::INT AS qid, {f'({v})::VARCHAR' if v else 'NULL::VARCHAR'} AS value, {'false' if v else 'true'} AS refused" for n, (_, _, v) in enumerate(SET))),
+    "route_questions": (route_questions, " UNION ALL ".join(f"SELECT {n}::INT AS qid, '{r}' AS route" for n, (_, r) in enumerate(ROUTED))),
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import index as I
 from lodestone.operators import retrieve as R
+from lodestone.operators.stage import staged
 from lodestone.sources.catalog import Catalog
 
 K = 10
@@ -135,15 +136,27 @@ def expand_number(spark, directory):
     return spark.createDataFrame(NUMBERS, "qid string, text string").select("qid", R.plain_numbers(F.col("text")).alias("variant"))
 
 
+def _documents_index(spark, directory):
+    docs = documents(spark, directory).select(F.col("chunk_id").cast("string").alias("chunk_id"), "text", F.lit("row").alias("kind"), F.lit("documents").alias("table"), F.lit("parquet").alias("source_id"))
+    return {"chunks": docs, "postings": staged(I.postings(docs)), "stats": I.doc_stats(docs)}
+
+
+def retrieve_lexical(spark, directory):
+    """The pipeline with BM25 alone: fifty candidates, fused, reranked, ten left."""
+    from lodestone.config import RetrievalConfig
+
+    docs = documents(spark, directory)
+    index = {"chunks": docs, "postings": I.postings(docs), "stats": I.doc_stats(docs)}
+    return R.retrieve(questions(spark, directory), index, RetrievalConfig(dense=False, k=K)).select("qid", "chunk_id", "score", "rank")
+
+
 def hybrid(spark, directory):
-    """The whole pipeline over schema cards and rows of small tables, with both retrievers."""
+    """The whole pipeline over all documents, with both retrievers; the benchmark items are the questions."""
     from lodestone.config import RetrievalConfig
-    from lodestone.engine import Engine
 
-    engine = Engine(Catalog(spark, directory))
-    engine.ingest(["region", "nation", "supplier"])
-    asked = spark.createDataFrame([(0, "What columns does the nation table have?"), (1, "supplier 7 account balance"), (2, "region with key 2")], "qid int, text string")
-    return engine.retrieve(asked, RetrievalConfig(k=5)).join(engine.index["chunks"].select("chunk_id", "table", "kind", "pk"), "chunk_id").select("qid", "rank", "table", "kind", "pk", "score")
+    index = _documents_index(spark, directory)
+    index["vectors"] = staged(I.embed(index["chunks"]))
+    return R.retrieve(questions(spark, directory), index, RetrievalConfig(k=5)).select("qid", "chunk_id", "score", "rank")
 
 
 WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
@@ -166,7 +179,7 @@ def stop_list() -> str:
     return "(" + ", ".join("'" + w + "'" for w in STOPWORDS) + ")"
 
 
-RERANK = rf"""{BASE}, h AS (SELECT qid, chunk_id, score FROM rk WHERE rank <= 20),
+RERANK = rf"""{BASE}, h AS (@HITS@),
  qt AS (SELECT item_id AS qid, list_filter({WORDS.format('text')}, lambda x: x NOT IN {stop_list()}) AS t FROM benchmark), dt AS (SELECT doc_id AS chunk_id, list_filter({WORDS.format('text')}, lambda x: x NOT IN {stop_list()}) AS t FROM documents),
  pr AS (SELECT h.qid, h.chunk_id, h.score, list_distinct(qt.t) AS q, dt.t AS d, list_distinct([qt.t[i] || ' ' || qt.t[i + 1] FOR i IN range(1, len(qt.t))]) AS qb, [dt.t[i] || ' ' || dt.t[i + 1] FOR i IN range(1, len(dt.t))] AS db FROM h JOIN qt USING (qid) JOIN dt USING (chunk_id)),
  cv AS (SELECT qid, chunk_id, score, q, len(q) AS nq, len(qb) AS nb, len(list_intersect(qb, db)) AS hb, list_intersect(q, d) AS c FROM pr),
@@ -197,7 +210,8 @@ QUERIES = {
     "hybrid_rrf": (rrf, f"WITH {RRF} {RANKED}"),
     "hybrid_minmax": (minmax, f"WITH {MINMAX} {RANKED}"),
     "min_score_floor": (min_score, f"WITH {RRF} SELECT qid, chunk_id, score FROM fz WHERE score >= 0.9"),
-    "rerank_overlap": (rerank, f"WITH {RERANK}"),
+    "rerank_overlap": (rerank, "WITH " + RERANK.replace("@HITS@", "SELECT qid, chunk_id, score FROM rk WHERE rank <= 20")),
+    "retrieve_lexical": (retrieve_lexical, "WITH " + RERANK.replace("@HITS@", "SELECT qid, chunk_id, round((1.0::DOUBLE / (60 + rank)) / (1.0::DOUBLE / 61), 6) AS score FROM rk WHERE rank <= 50")),
     "expand_punctuation": (expand_punctuation, r"SELECT item_id AS qid, trim(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS variant FROM benchmark"),
     "expand_number": (expand_number, "SELECT * FROM (VALUES ('a', '1234567 rows at 12.5 each'), ('b', '3 and 0.1'), ('c', 'no numbers, 12,34'), ('d', '2500.75')) t(qid, variant)"),
     "retrieve_pipeline": (hybrid, None),
