@@ -90,12 +90,20 @@ PACK = f"""{HITS}, pc AS (SELECT *, {tokens('text')} AS p FROM hit), bd AS (SELE
  us AS (SELECT *, sum(cost + 2) OVER (PARTITION BY qid ORDER BY score DESC, rank) - 2 AS used FROM co), ft AS (SELECT *, max((used > {BUDGET.max_prompt_tokens})::INT) OVER (PARTITION BY qid ORDER BY score DESC, rank) AS over_ FROM us),
  packed AS (SELECT qid, chunk_id, score, body, cost, row_number() OVER (PARTITION BY qid ORDER BY rank) AS marker FROM ft WHERE over_ = 0)"""
 
+SEGMENTS = "list_filter(list_transform(string_split(regexp_replace(regexp_replace(body, '; | \\| ', chr(10), 'g'), '\\. ', '.' || chr(10), 'g'), chr(10)), lambda p: rtrim(substr(trim(p, ' ' || chr(9) || '•-'), 1, 400), ' ')), lambda p: p <> '')"
+LINES = f"""{PACK}, bt AS (SELECT qid, marker, unnest(list_distinct({terms('body')})) AS term FROM packed), aq AS (SELECT item_id AS qid, unnest(list_distinct({terms('text')})) AS term FROM benchmark), bn AS (SELECT qid, count(*) AS n FROM packed GROUP BY qid),
+ bf AS (SELECT qid, term, count(*) AS df FROM bt GROUP BY ALL), bw AS (SELECT a.qid, a.term, ln(1 + n / (1 + coalesce(df, 0))) AS w FROM aq a JOIN bn USING (qid) LEFT JOIN bf USING (qid, term)), bs AS (SELECT qid, sum(w) AS total FROM bw GROUP BY qid), bg AS (SELECT bt.qid, marker, sum(w) AS got FROM bt JOIN bw USING (qid, term) GROUP BY ALL),
+ bo AS (SELECT p.qid, p.marker, p.score, p.body, round(coalesce(got / total, 0), 6) AS ov FROM packed p LEFT JOIN bs USING (qid) LEFT JOIN bg USING (qid, marker)), b1 AS (SELECT *, max(ov) OVER (PARTITION BY qid) AS best, row_number() OVER (PARTITION BY qid ORDER BY score DESC, marker) AS n FROM bo),
+ b2 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, marker) AS k FROM b1 WHERE n = 1 OR best > 0 AND ov >= round(best * {A.EVIDENCE}, 6)), sg AS (SELECT qid, marker, {SEGMENTS} AS l FROM b2 WHERE k <= {A.MAX_BLOCKS}), ln AS (SELECT qid, marker, unnest(range(len(l))) AS place, unnest(l) AS segment FROM sg),
+ qt AS (SELECT item_id AS qid, list_distinct({terms('text')}) AS q FROM benchmark), sh AS (SELECT qid, marker, place, segment, round(len(list_intersect(q, {terms('segment')})) / greatest(len(q), 1), 6) AS share FROM ln JOIN qt USING (qid)),
+ rk2 AS (SELECT *, row_number() OVER (PARTITION BY qid, marker ORDER BY share DESC, place) AS n FROM sh)"""
+
 QUERIES = {
     "overlap_gate": (overlap_gate, f"WITH {OVERLAP} SELECT qid, chunk_id, overlap, plain FROM ov"),
     "entity_gate": (entity_gate, f"WITH {ENTITY} SELECT * FROM eg"),
     "refusal_codes": (refusal_codes, f"WITH {CODES}"),
     "pack_budget": (pack_budget, f"WITH {PACK} SELECT qid, chunk_id, marker::INT AS marker, cost FROM packed"),
-    "extractive_lines": (extractive_lines, None),
+    "extractive_lines": (extractive_lines, f"WITH {LINES} SELECT qid, marker::INT AS marker, place, sha256(segment) AS segment_hash FROM rk2 WHERE n <= {A.MAX_SEGMENTS}"),
     "citation_resolve": (citation_resolve, "WITH s AS (SELECT conv_id::VARCHAR || '|' || turn::VARCHAR AS qid, turn % 3 + 2 AS m FROM conversations) SELECT qid, 1::INT AS marker, true AS valid FROM s UNION ALL SELECT qid, 2, true FROM s UNION ALL SELECT qid, m::INT, false FROM s WHERE m > 2"),
     "extractive_answers": (answers, None),
 }
