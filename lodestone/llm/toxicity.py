@@ -87,17 +87,18 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
     bias = float(np.log(rate / (1 - rate)))
     if not 0 < positive < n:
         return Machine(np.empty(0, np.int64), bias, np.empty(0), np.empty((0, FACTORS)))
-    at = np.repeat(np.arange(n), [len(r) for r in rows])
-    flat = np.concatenate(rows) if len(at) else np.empty(0, np.int32)
-    found, flat, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    hits = np.bincount(flat, weights=labels[at], minlength=len(found))
+    # Counts of all terms take one sorted copy of them; only chosen terms get places of their own.
+    flat = np.concatenate(rows) if n else np.empty(0, np.int32)
+    found, seen = np.unique(flat, return_counts=True)
+    del flat
+    toxic, times = np.unique(np.concatenate([r for r, y in zip(rows, labels) if y]), return_counts=True)
+    hits = np.zeros(len(found))
+    hits[np.searchsorted(found, toxic)] = times
     z = (hits - seen * rate) / np.sqrt(np.maximum(seen * rate * (1 - rate), 1e-9))
     z[seen < max(3, n / SEEN_SHARE)] = 0
-    chosen = np.flatnonzero(np.abs(z) >= Z_LEAST)
-    index = np.full(len(found), -1)
-    index[chosen] = np.arange(len(chosen))
-    keep = index[flat] >= 0
-    at, flat, chosen = at[keep], index[flat[keep]], found[chosen]
+    chosen = found[np.abs(z) >= Z_LEAST]
+    own = [np.flatnonzero(np.isin(chosen, r)) for r in rows]
+    at, flat = np.repeat(np.arange(n), [len(o) for o in own]), np.concatenate(own)
     rng = np.random.default_rng(SEED)
     w, v = np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), FACTORS))
     gw, gv = np.full(w.shape, 1e-6), np.full(v.shape, 1e-6)
