@@ -7,8 +7,9 @@ Pairs inside one component needn't be compared. Two members x, y of a bucket tha
 similar if they differ from L in the same way: one of them, x, isn't similar to L, so with A = own shingles
 that L lacks and B = those of L that it lacks, at least (t |A_y| + |B_y|) / (1 + t) elements of A and B are
 common to both (t is the threshold; put the sizes into the Jaccard quotient). So members meet on the rarest of
-their differences from L, as many as this bound leaves (a prefix filter), and components stay exact, while
-copies that each differ in their own way hardly meet.
+their differences from L, as many as this bound leaves (a prefix filter), and early enough among them for the
+rest to suffice (a positional filter), and components stay exact, while copies that each differ in their own way
+hardly meet.
 
 A candidate's signatures are compared batch by batch; after each batch the pair is given up if the posterior
 probability of a similarity of num/DEN or more has fallen below MISS (uniform prior). What survives is verified
@@ -252,15 +253,18 @@ def _same_differences(docs: DataFrame, key: str, text: str, members: DataFrame,
     common = each.groupBy("leader", "e").agg(F.count("*").alias("f")).where("f > 1")
     shared = each.join(common, ["leader", "e"]).groupBy("leader", "rep").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("s"))  # at most a set
     alone = F.size("items") - F.size("s")  # differences that nobody else has come first and meet nothing
-    rare = lambda n: F.transform(F.slice("s", 1, F.greatest(F.lit(0), F.col(n) - alone)), lambda x: x["e"])
-    met = split.df.join(shared, ["leader", "rep"]).withColumn("k", F.size("s")).withColumn("own", F.struct("rep", "c", "apart", "bound", "slack", "k"))
-    few = met.select("leader", "own", F.explode(rare("few")).alias("e"))
-    many = met.where("apart").select("leader", F.col("own").alias("x"), F.explode(rare("many")).alias("e"))
-    x, y = few.select("leader", "e", F.col("own").alias("x")).where("x.apart"), few.select("leader", "e", F.col("own").alias("y"))
-    # What both differ in alike is at most what either shares with anybody, and has to make up for all differences.
-    enough = f"x.c <> y.c and least(x.k, y.k) * {num + DEN} >= x.bound + y.bound - x.slack"
+    # The rarest, each with how many the set shares with anybody from there on.
+    rare = lambda n: F.transform(F.slice("s", 1, F.greatest(F.lit(0), F.col(n) - alone)), lambda x, i: F.struct(x["e"].alias("e"), (F.size("s") - i).alias("left")))
+    met = split.df.join(shared, ["leader", "rep"]).withColumn("own", F.struct("rep", "c", "apart", "bound", "slack"))
+    few = met.select("leader", "own", F.explode(rare("few")).alias("at"))
+    many = met.where("apart").select("leader", F.col("own").alias("x"), F.explode(rare("many")).alias("at"))
+    at = lambda rows, side: rows.select("leader", F.col("at.e").alias("e"), F.col("at.left").alias(f"{side}_left"), side)
+    x, y = at(few.withColumnRenamed("own", "x").where("x.apart"), "x"), at(few.withColumnRenamed("own", "y"), "y")
+    # What both differ in alike has to make up for all differences. Where they meet on the rarest of it, all of it lies
+    # from there on in either order, so it's at most what either has left; pairs that meet too late are no candidates.
+    enough = f"x.c <> y.c and least(x_left, y_left) * {num + DEN} >= x.bound + y.bound - x.slack"
     both = x.join(y.where("y.apart"), ["leader", "e"]).where(f"x.rep < y.rep and {enough}")
-    mixed = many.join(y.where("not y.apart"), ["leader", "e"]).where(enough)
+    mixed = at(many, "x").join(y.where("not y.apart"), ["leader", "e"]).where(enough)
     return _ordered(both.unionByName(mixed).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
 
 

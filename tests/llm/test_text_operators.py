@@ -468,3 +468,24 @@ def test_ids_of_text(spark, rows):
     got = {r["doc_id"]: r for r in minhash.digest(df).collect()}
     assert {i: r["component_id"] for i, r in got.items() if i is not None} == {i: order[due[number[i]][1]] for i in order}
     assert got[None]["component_id"] == "doc-900" and not got[None]["kept"]
+
+
+def test_members_that_meet_too_late(spark):
+    """Variants of one text that change the same places, most to the same few words, share many differences from it, few enough of them to be alike."""
+    own = random.Random(7)
+    base = [f"v{i}" for i in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(60):
+        t = list(base)
+        for at in own.sample(range(5, 115, 6), 7):
+            t[at] = f"x{own.randrange(2)}"
+        rows.append((2 * i + 1, " ".join(t)))
+        t[0] = f"y{i}"
+        rows.append((2 * i + 2, " ".join(t)))
+    known = minhash.WordHash()
+    sets = {i: set(minhash.shingles(known, t).tolist()) for i, t in rows}
+    alike = {(a, b) for a in sets for b in sets if 0 < a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    members = spark.createDataFrame([(0, i, i) for i in sets if i], "leader long, rep long, c long")
+    got = {(r["a"], r["b"]) for r in minhash._same_differences(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", members, 80).collect()}
+    assert len(alike) >= 60 and alike <= got
+    assert 2 * len(got) < len(sets) * (len(sets) - 1) / 2
