@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.config import GenerationConfig
 from lodestone.operators import answer as A
-from lodestone.operators.stage import staged
+from lodestone.operators.stage import staged, with_rows
 from lodestone.workload import retrieval as R
 from lodestone.workload.chunking import PIECE
 from lodestone.workload.retrieval import BASE, stop_list
@@ -16,7 +16,7 @@ BUDGET = GenerationConfig(max_prompt_tokens=2000, max_chunk_tokens=300)
 
 def hits(spark, directory):
     texts = R.documents(spark, directory).select("chunk_id", "text", F.lit("parquet").alias("source_id"), F.lit("row").alias("kind"), F.lit("documents").alias("table"), F.col("chunk_id").cast("string").alias("pk"))
-    return staged(R.bm25(spark, directory).join(texts, "chunk_id"))  # ten rows for each question, read several times
+    return staged(with_rows(staged(R.bm25(spark, directory)), texts))  # ten rows for each question, read several times
 
 
 def overlap_gate(spark, directory):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import evaluate as V
+from lodestone.operators import scan as S
+from lodestone.operators.stage import staged
 from lodestone.sources.catalog import Catalog
 from lodestone.workload import retrieval as R
 from lodestone.workload.retrieval import BASE
@@ -12,8 +14,9 @@ from lodestone.workload.retrieval import BASE
 
 def metrics(spark, directory):
     """Hits are the ten best documents; gold is the two best English ones and a document that isn't there."""
-    hits = R.bm25(spark, directory).select("qid", F.col("chunk_id").alias("key"), "rank")
-    best = R.bm25(spark, directory, R.documents(spark, directory).where("lang = 'en'"), 2).select("qid", F.col("chunk_id").alias("key"))
+    words = R.counted(spark, directory)
+    hits = S.bm25(words, R.K).select("qid", F.col("chunk_id").alias("key"), "rank")
+    best = staged(S.bm25(words, 2, R.ENGLISH).select("qid", F.col("chunk_id").alias("key")))
     missing = R.questions(spark, directory).select("qid", F.lit(-1).cast("long").alias("key"))
     return V.retrieval(hits, best.unionByName(missing))
 
