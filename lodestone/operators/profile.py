@@ -3,7 +3,7 @@
 Counts, ranges and lengths take one aggregate with map-side combination. `survey` goes on from there: only columns that
 this doesn't settle get an estimate of their distinct values, and only those of few values are read for what they hold,
 so neither a count nor a vocabulary shuffles the others. `profile` counts distinct values exactly for every column: it unpivots the table to
-(column, value) and groups by both, so that no group is larger than one value.
+(column, value) and groups by both, so that no group is larger than one value; long values are grouped by digest.
 """
 
 from __future__ import annotations
@@ -65,6 +65,8 @@ def long_form(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     return df.select(F.explode(cells).alias("x")).select("x.*")
 
 
+#: Characters of a value beyond which distinct ones are counted by their digests, so that whole texts aren't moved.
+LONG = 64
 #: Relative error of the estimates of distinct values.
 ERROR = 0.02
 
@@ -99,7 +101,7 @@ def profile(df: DataFrame, table: str, keys: tuple[str, ...] = (), refs: dict[st
     if approximate:
         found = _counts(df, estimate=True)
     else:
-        cells = long_form(df).where("value is not null")
+        cells = long_form(df).where("value is not null").withColumn("value", F.when(F.length("value") > LONG, F.sha2("value", 256)).otherwise(F.col("value")))
         distinct = cells.groupBy("column", "value").agg(F.lit(1).alias("one")).groupBy("column").agg(F.count("*").alias("distinct"))
         found = _counts(df).join(distinct, "column", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0).cast("long")))
     return _with_role(found, table, [f.name for f in columns_of(df)], keys, refs or {})

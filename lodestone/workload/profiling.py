@@ -50,14 +50,12 @@ def roles(spark, directory):
 
 
 def vocabularies(spark, directory):
+    """From a survey: only values of columns that have few are shuffled, and the values themselves tell which those are."""
     catalog = Catalog(spark, directory)
-    out = None
-    for t in ("customer", "part", "orders", "lineitem", "events", "documents", "labels", "conversations"):
-        own = catalog.table(t)
-        df = catalog.load(t)
-        c = P.categories(df, P.profile(df, t, own.key, own.refs))
-        out = c if out is None else out.unionByName(c)
-    return out.groupBy("table", "column").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("categories"))  # at most 50 values each
+    named = ("customer", "part", "orders", "lineitem", "events", "documents", "labels", "conversations")
+    _, values = P.survey({t: catalog.load(t) for t in named}, {t: (catalog.table(t).key, catalog.table(t).refs) for t in named})
+    out = spark.createDataFrame(values, "`table` string, `column` string, value string")  # at most MAX_CATEGORIES for a column
+    return out.groupBy("table", "column").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("categories"))
 
 
 def sample(spark, directory):

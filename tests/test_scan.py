@@ -134,3 +134,26 @@ def test_embedding_forgets_words_and_sums_in_pieces(monkeypatch):
     monkeypatch.setattr(I._Cells, "PAIRS", 4)
     cells = I._Cells(16)
     assert all((cells.sums(distinct, row, code, 3) == want).all() for _ in range(3)) and not want[1].any() and want[0].any()
+
+
+def test_vocabularies_move_only_columns_of_few_values(spark, data, monkeypatch):
+    from lodestone.operators import profile as P
+    from lodestone.workload import profiling
+
+    asked, whole = set(), P.long_form
+
+    def watched(df, names=None):
+        asked.update(names if names is not None else df.columns)
+        return whole(df, names)
+
+    monkeypatch.setattr(P, "long_form", watched)
+    got = {(r["table"], r["column"]): r["categories"].split("|") for r in profiling.vocabularies(spark, data).collect()}
+    assert not asked & {"text", "c_name", "p_name", "l_orderkey", "l_extendedprice", "o_totalprice", "props", "n_chars"}
+    assert got["orders", "o_orderstatus"] == sorted(got["orders", "o_orderstatus"]) and {c for _, c in got} <= asked and got["labels", "toxic"] == ["0", "1"]
+
+
+def test_distinct_long_values_are_counted_by_digest(spark):
+    from lodestone.operators import profile as P
+
+    rows = spark.createDataFrame([("x" * 500 + str(i % 7),) for i in range(50)] + [("x" * 64,), ("x" * 65,), (None,)], "t string")
+    assert P.profile(rows, "t").first()["distinct"] == 9
