@@ -132,8 +132,12 @@ def test_embedding_forgets_words_and_sums_in_pieces(monkeypatch):
     want = I._Cells(16).sums(distinct, row, code, 3)
     monkeypatch.setattr(I._Cells, "MOST", 5)
     monkeypatch.setattr(I._Cells, "PAIRS", 4)
+    monkeypatch.setattr(I._Cells, "WORDS", 3)
     cells = I._Cells(16)
     assert all((cells.sums(distinct, row, code, 3) == want).all() for _ in range(3)) and not want[1].any() and want[0].any()
+    for bits in (4, 3):  # more letters than numbers: forgotten, or a word's grams one by one
+        monkeypatch.setattr(I._Cells, "BITS", bits)
+        assert (I._Cells(16).sums(distinct, row, code, 3) == want).all()
 
 
 def test_vocabularies_move_only_columns_of_few_values(spark, data, monkeypatch):
